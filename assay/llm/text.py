@@ -139,3 +139,24 @@ def distinct(codes: np.ndarray, bits: int = 20) -> tuple[np.ndarray, np.ndarray]
     of = number[slot]
     of[~first] = back + int(used.sum())
     return np.concatenate([table[used], rest]), of
+
+
+def prefix_hashes(data: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """For each byte, a 64-bit hash of the bytes of its word before it; a byte that ends a word has that of the whole word."""
+    out = np.empty(len(data), np.uint64)
+    start = np.where(word[data], 0, np.arange(1, len(data) + 1))
+    start = np.concatenate([[0], np.maximum.accumulate(start)[:-1]]) if len(data) else start
+    lo = 0
+    while lo < len(data):
+        # a segment begins at a word
+        hi = len(data) if len(data) - lo <= _SEGMENT else max(int(start[lo + _SEGMENT]), lo)
+        if hi <= lo:  # a word longer than a segment
+            later = np.flatnonzero(start[lo + _SEGMENT :] > lo)
+            hi = lo + _SEGMENT + int(later[0]) if len(later) else len(data)
+        power, inverse = _grown(hi - lo + 1)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTES[data[lo:hi]] * power[: hi - lo], out=total[1:])
+        s = start[lo:hi] - lo
+        out[lo:hi] = mix((total[:-1] - total[s]) * inverse[s])
+        lo = hi
+    return out
