@@ -39,6 +39,8 @@ def kinds(df: DataFrame, target: str | None = None) -> dict[str, str]:
 
 def _long(df: DataFrame, row: dict[str, Column], columns: list[str], **types: str) -> DataFrame:
     """A row for each of some columns, out of one row of aggregates named <value>_<position>."""
+    if not columns:
+        return df.sparkSession.createDataFrame([], ", ".join(["name string", *[f"{v} {t}" for v, t in types.items()]]))
     found = df.agg(*row.values())
     each = F.array(*[F.struct(F.lit(c).alias("name"), *[F.col(f"{v}_{i}").cast(t).alias(v) for v, t in types.items()]) for i, c in enumerate(columns)])
     return found.select(F.inline(each))
@@ -79,7 +81,8 @@ def missing(df: DataFrame) -> DataFrame:
 def distinct(df: DataFrame, approx: bool = False) -> DataFrame:
     """name and n_unique, the distinct values that aren't missing, of each column.
 
-    approx: HyperLogLog first, then exact counts for columns near a number that decides a flag.
+    approx: HyperLogLog first, then exact counts for columns of few values or near a number that
+    decides a flag.
     """
     columns = [f.name for f in df.schema if kind(f) != "nested"]
     exact = set(columns)
@@ -87,7 +90,7 @@ def distinct(df: DataFrame, approx: bool = False) -> DataFrame:
         guess = df.agg(F.count("*").alias("n"), *[F.approx_count_distinct(f"`{c}`").alias(f"u_{i}") for i, c in enumerate(columns)]).first()
         n = guess["n"]
         near = lambda u, limit: abs(u - limit) <= 0.15 * max(limit, 10)
-        exact = {c for i, c in enumerate(columns) if any(near(guess[f"u_{i}"], x) for x in (1, MOST_LEVELS, ID_SHARE * n, n))}
+        exact = {c for i, c in enumerate(columns) if guess[f"u_{i}"] <= 2 * MOST_LEVELS or any(near(guess[f"u_{i}"], x) for x in (ID_SHARE * n, n))}
     row = {c: (F.countDistinct(f"`{c}`") if c in exact else F.approx_count_distinct(f"`{c}`")).alias(f"n_unique_{i}") for i, c in enumerate(columns)}
     return _long(df, row, columns, n_unique="long")
 
