@@ -9,7 +9,6 @@ without a shuffle; what is in bins unfilled at its end is laid end to end into s
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,65 +20,89 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from assay.llm import text
 
-_PLAIN = re.compile(r"[0-9a-zß-öø-ÿ!-&(-/:-@\[-`{-~]+")
-_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: What a byte is: 0 white space, 1 part of a letter, 2 a mark, 3 a digit; and those that need the whole tokenizer.
+_KIND = np.full(256, 2, np.uint8)
+_KIND[list(text.SPACES)], _KIND[48:58] = 0, 3
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
+_ODD = np.zeros(256, bool)
+_ODD[:32] = _ODD[39] = _ODD[127] = _ODD[192:] = True
+_ODD[[*text.SPACES, 0xC3]] = False
 
 
 class Encoder:
     """Ids as the tokenizer gives them, for texts of which most words repeat.
 
-    This holds for tokenizers that drop white space and split at it, and lower-case: words between
-    white space are encoded one by one and remembered. Words of plain lower-case letters, digits
-    and marks go straight to the model; all others, such as those with an apostrophe or a special
-    token, go through the whole tokenizer.
+    This holds for tokenizers that drop white space, lower-case, and split letters, single digits
+    and marks from each other. Such parts of plain words (ASCII but apostrophes and control bytes,
+    letters from U+00C0 to U+00FF) are encoded once by the model; a word with anything else, a
+    special token included, once by the whole tokenizer. Both are remembered by hash, up to a bound.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 2_000_000):
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words: dict[bytes, np.ndarray] = {}
-        self.parts: dict[str, list[int]] = {}
-
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= self.remembered:
-                self.parts.clear()
-            shown = part if part.isascii() else self.level.pre_tokenize_str(part)[0][0]
-            ids = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return ids
-
-    def word(self, raw: bytes) -> list[int]:
-        if b"<|" in raw:
-            return self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
-        low = raw.decode().lower()
-        if not _PLAIN.fullmatch(low):
-            return self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
-        ids: list[int] = []
-        for part in _PARTS.findall(low):
-            ids += self._part(part)
-        return ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.from_, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _plain(self, raw: bytes) -> list[int]:
+        part = raw.decode().lower()
+        shown = part if part.isascii() else self.level.pre_tokenize_str(part)[0][0]
+        return [t.id for t in self.tokenizer.model.tokenize(shown)]
+
+    def _whole(self, raw: bytes) -> list[int]:
+        return self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
+
+    @staticmethod
+    def parts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the parts of plain words and of other words as a whole; which are the latter."""
+        odd = _ODD[data]
+        odd[:-1] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+        odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        kind = _KIND[data]
+        place = np.flatnonzero(odd)
+        if len(place):
+            starts, ends = text.spans(data, text.SPACED)
+            word = np.unique(np.searchsorted(starts, place, "right") - 1)
+            step = np.zeros(len(data) + 1, np.int8)
+            step[starts[word]] = 1
+            step[ends[word]] = -1
+            kind[np.cumsum(step[:-1], dtype=np.int8) > 0] = 4
+        edge = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 3)])
+        starts = np.flatnonzero(edge)
+        ends = np.concatenate([starts[1:], [len(data)]])
+        inside = kind[starts] > 0
+        return starts[inside], ends[inside], kind[starts[inside]] == 4
 
     def encode(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by `end`; where each text's ids start (and the end)."""
         data, at = text.joined(texts)
-        starts, ends = text.spans(data, text.SPACED)
+        starts, ends, odd = self.parts(data)
         first = np.searchsorted(starts, at)
         raw = data.tobytes()
         folded = data if b"<|" in raw else np.frombuffer(raw.lower(), np.uint8)
-        _, head, of = np.unique(text.word_hashes(folded, starts, ends), return_index=True, return_inverse=True)
-        each = [self.word(raw[a:b]) for a, b in zip(starts[head].tolist(), ends[head].tolist())]
-        each.append([] if end is None else [end])
+        keys, head, of = np.unique(text.word_hashes(folded, starts, ends), return_index=True, return_inverse=True)
+        if len(self.known) + len(keys) > self.remembered:
+            self._forget()
+        there = np.searchsorted(self.known, keys)
+        new = np.ones(len(keys), bool)
+        inside = there < len(self.known)
+        new[inside] = self.known[there[inside]] != keys[inside]
+        h = head[new]
+        each = [self._whole(raw[a:b]) if o else self._plain(raw[a:b]) for a, b, o in zip(starts[h].tolist(), ends[h].tolist(), odd[h].tolist())]
         size = np.array([len(x) for x in each], np.int64)
-        flat = np.fromiter((i for x in each for i in x), np.uint32, int(size.sum()))
-        from_ = np.cumsum(size) - size
-        # the end is one more word after each text's last
-        of = np.insert(of, first[1:], len(each) - 1)
+        self.from_ = np.insert(self.from_, there[new], len(self.ids) + np.cumsum(size) - size)
+        self.size, self.known = np.insert(self.size, there[new], size), np.insert(self.known, there[new], keys[new])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in each for i in x), np.uint32, int(size.sum()))])
+        # the end is one more part after each text's last
+        of = np.insert(np.searchsorted(self.known, keys)[of], first[1:], len(self.known))
         first = first + np.arange(len(first))
-        n = size[of]
+        flat = self.ids if end is None else np.append(self.ids, np.uint32(end))
+        n = np.append(self.size, int(end is not None))[of]
         after = np.cumsum(n)
-        ids = flat[np.arange(int(n.sum())) - np.repeat(after - n - from_[of], n)]
-        return ids, np.concatenate([[0], after])[first]
+        found = flat[np.arange(int(after[-1]) if len(after) else 0) - np.repeat(after - n - np.append(self.from_, len(self.ids))[of], n)]
+        return found, np.concatenate([[0], after])[first]
 
 
 def classes(capacity: int) -> np.ndarray:
