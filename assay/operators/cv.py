@@ -12,7 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,12 +23,8 @@ from assay.operators.profile import kinds
 RESULT = "candidate string, repeat int, fold int, side string, metric string, value double"
 
 
-def featurize(train: DataFrame, spec: Spec, keep: tuple[str, ...]) -> tuple[list, list[str]]:
-    """Spark ML stages and the numeric columns that they use, learned on train (a `clean` table with label).
-
-    Numbers are filled and, for scaled models, standardized by population deviation; text is
-    one-hot encoded with at most `max_categories` outputs, or ordinal.
-    """
+def feature_columns(train: DataFrame, spec: Spec, keep: tuple[str, ...]) -> tuple[list[str], list[str]]:
+    """Numeric and text columns of a `clean` table that are features."""
     columns = {c: k for c, k in kinds(train).items() if c not in keep and c not in spec.drop}
     numbers = [c for c, k in columns.items() if k == "numeric"]
     texts = [c for c, k in columns.items() if k == "categorical"]
@@ -36,14 +32,18 @@ def featurize(train: DataFrame, spec: Spec, keep: tuple[str, ...]) -> tuple[list
 
 
 class Features:
-    """Statistics of the training rows; apply() makes the vector of any rows."""
+    """Statistics of the training rows; apply() makes the vector of any rows.
+
+    Numbers are filled and, for scaled models, standardized by population deviation; text is
+    one-hot encoded with at most `max_categories` outputs, or ordinal. A column without a value in
+    the training rows is left out.
+    """
 
     def __init__(self, train: DataFrame, spec: Spec, keep: tuple[str, ...]):
-        numbers, texts = featurize(train, spec, keep)
+        numbers, texts = feature_columns(train, spec, keep)
         self.spec, prep = spec, spec.prep
-        marked = train.withColumn("_fold", F.lit(0))
-        # one pseudo fold whose training rows are all rows
-        stats = {r["name"]: r for r in features.numeric_stats(marked.withColumn("_fold", F.lit(-1)), numbers, "_fold", [0]).collect()} if numbers else {}
+        # rows of no fold are training rows of every fold
+        stats = {r["name"]: r for r in features.numeric_stats(train.withColumn("_fold", F.lit(-1)), numbers, "_fold", [0]).collect()} if numbers else {}
         self.numbers = {c: s for c, s in stats.items() if s["median"] is not None}
         self.texts: dict[str, tuple[str, list[str], list[str]]] = {}
         for c in texts:
@@ -66,8 +66,6 @@ class Features:
         for c, (mode, own, rest) in self.texts.items():
             v = F.coalesce(F.col(f"`{c}`"), F.lit(mode))
             if self.spec.prep.categorical == "ordinal":
-                from pyspark.sql import Window
-
                 codes = self.ordinals[c].select(F.col("v").alias(f"_{c}"), (F.row_number().over(Window.orderBy("v")) - 1).cast("double").alias(f"{c}__ord"))
                 df = df.join(codes, v == F.col(f"_{c}"), "left").drop(f"_{c}").fillna(-1.0, [f"{c}__ord"])
                 names.append(f"{c}__ord")

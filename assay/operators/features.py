@@ -97,15 +97,15 @@ def category_counts(df: DataFrame, columns: list[str], fold_col: str) -> DataFra
     cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
     own = df.select(F.col(fold_col).alias("fold"), F.inline(cells)).where("value is not null").groupBy("fold", "name", "value").agg(F.count("*").alias("n"))
     totals = own.groupBy("name", "value").agg(F.sum("n").alias("total"))
-    folds = df.where(F.col(fold_col).isNotNull()).select(F.col(fold_col).alias("fold")).distinct()
-    every = totals.join(F.broadcast(folds.agg(F.collect_list("fold").alias("folds")).select("folds", F.lit(1).alias("_one"))), F.lit(1) == F.col("_one")).select("name", "value", "total", F.explode("folds").alias("fold"))
+    folds = df.agg(F.array_sort(F.collect_set(fold_col)).alias("folds"))  # a few numbers
+    every = totals.withColumn("fold", F.explode(folds.select("folds").scalar()))
     joined = every.join(own, ["fold", "name", "value"], "left")
     return joined.select("fold", "name", "value", (F.col("total") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
 
 
 def impute_mode(counts: DataFrame) -> DataFrame:
     """fold, name and the most frequent value; of equals the smallest."""
-    return counts.groupBy("fold", "name").agg(F.max_by("value", F.struct("n", F.lit(0))).alias("_any"), F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"].alias("mode")).drop("_any")
+    return counts.groupBy("fold", "name").agg(F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"].alias("mode"))
 
 
 def onehot_categories(counts: DataFrame, max_categories: int = 20) -> DataFrame:
@@ -133,7 +133,7 @@ def impute(df: DataFrame, columns: list[str], stats: DataFrame, fold: int, how:
             df = df.drop(c)
             continue
         x = F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(s[how])))
-        out[c] = (x - F.lit(s["mean"] if how == "mean" else s["mean"])) / F.lit(s["std"] or 1.0) if scale else x
+        out[c] = (x - F.lit(s["mean"])) / F.lit(s["std"] or 1.0) if scale else x
     return df.withColumns(out) if out else df
 
 

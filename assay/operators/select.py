@@ -62,7 +62,7 @@ def finalist_table(finalists: DataFrame, tests: DataFrame, hidden: DataFrame, me
     """A row for each finalist: CV mean and std, p, tie, hidden score and difference with intervals, and what is recommended."""
     joined = finalist_join(finalists, tests, hidden)
     pick = joined.where("tie").agg(F.max_by("candidate", F.struct(signed(metric, F.col("mean")))).alias("c"))
-    columns = ["candidate", "model", "mean", "std", "n_folds", "p_adjusted", "tie", "score", "ci_lo", "ci_hi", "diff", "diff_lo", "diff_hi", "error"]
+    columns = ["candidate", "model", "mean", "std", "n_folds", "p_adjusted", "tie", "score", "ci_lo", "ci_hi", "diff", "diff_lo", "diff_hi", "fit_seconds", "predict_ms_per_1k", "error"]
     return joined.select(*[c for c in columns if c in joined.columns]).withColumn("recommended", F.coalesce(F.col("candidate") == pick.select("c").scalar(), F.lit(False)))
 
 

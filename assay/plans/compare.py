@@ -1,23 +1,28 @@
-"""A whole comparison: split, profile, cross-validate, confirm, test once on hidden rows, report."""
+"""A whole comparison: split, profile, cross-validate, confirm, test once on hidden rows, fit the winner, report."""
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.operators import cv, metrics, profile, select, split, stats
+from assay.operators import cv, profile, select, split, stats
 from assay.operators.filters import drop_missing_target, require_columns
 from assay.operators.models import MENU, Spec, portfolio
+from assay.streaming.events import SCHEMA, append_event
 
 MAX_ROUNDS, MAX_CANDIDATES = 3, 8
 
 
 @dataclass
 class Comparison:
-    """What a run has found. All are DataFrames but task, time_col, dropped and recommended."""
+    """What a run has found. All are DataFrames but run_id, task, time_col, dropped and recommended."""
 
+    run_id: str
     task: str
     time_col: str | None
     dropped: list[str]
@@ -29,6 +34,8 @@ class Comparison:
     predictions: DataFrame
     finalists: DataFrame
     recommended: str
+    top_features: DataFrame
+    events: DataFrame
 
 
 def small_portfolio(task: str, target: str, drop: tuple[str, ...] = ()) -> list[Spec]:
@@ -58,18 +65,25 @@ def check_round(specs: list[Spec], earlier: list[str], number: int) -> list[Spec
     return out
 
 
-def compare_models(df: DataFrame, target: str, keys: list[str], order_col: str | None = None, task: str | None = None, specs=None, folds: int = 5, confirm_folds: int = 5, confirm_repeats: int = 2, n_boot: int = 200, threads: int = 3) -> Comparison:
+def compare_models(df: DataFrame, target: str, keys: list[str], order_col: str | None = None, task: str | None = None, specs=None, folds: int = 5, confirm_folds: int = 5, confirm_repeats: int = 2, n_boot: int = 200, threads: int = 3, model_path: str | None = None, log_path: str | None = None) -> Comparison:
     """Compares candidates on 80 % of the rows and scores the finalists once on the rest.
 
     specs: a function of task, target and dropped columns; the portfolio if None. Scores are by
     roc_auc or rmse. Rows without target are left out; keys make splits and folds independent of
-    how the table is partitioned.
+    how the table is partitioned. The winner is fitted on all rows, and saved to model_path; the
+    run's events are appended to the log at log_path.
     """
+    run_id, log = uuid.uuid4().hex[:12], []
+
+    def emit(kind: str, **payload) -> None:
+        log.append((run_id, time.time(), kind, json.dumps(payload, default=str)))
+
     require_columns(df, target, *keys, order_col)
     df = drop_missing_target(df, target)
     task = task or split.guess_task(df, target).first()["task"]
     metric = "roc_auc" if task == "classification" else "rmse"
     time_col = split.sorted_time_column(df, target, order_col) if order_col else None
+    emit("run_start", target=target, task=task, metric=metric, time_col=time_col)
     parted = split.split_holdout(df, target, task, keys, time_col).persist()
     dev, hidden = (parted.where(F.col("split") == s).drop("split") for s in ("dev", "hidden"))
     found = profile.column_profile(dev, target, task).persist()
@@ -80,6 +94,7 @@ def compare_models(df: DataFrame, target: str, keys: list[str], order_col: str |
     def folded(k: int, repeats: int, seed: int) -> DataFrame:
         return split.assign_folds(dev, k, keys, repeats, target if task == "classification" else None, time_col, seed)
 
+    emit("round_start", round=1, candidates=[c.name for c in candidates], dropped=dropped)
     scores, status = cv.run_round(folded(folds, 1, split.SEED), candidates, threads)
     results = cv.cv_summary(scores.where(F.col("metric") == metric)).drop("metric")
     results = status.join(results, "candidate", "left")
@@ -88,20 +103,31 @@ def compare_models(df: DataFrame, target: str, keys: list[str], order_col: str |
     names = {r["candidate"]: r["is_best"] for r in finalists.collect()}  # three at most
     if not names:
         raise RuntimeError("no candidate worked: " + "; ".join(f"{r['candidate']}: {r['error']}" for r in status.collect()))
+    emit("leaderboard", round=1, finalists=sorted(names))
     chosen = [s for s in candidates if s.name in names]
     again, _ = cv.run_round(folded(confirm_folds, confirm_repeats, split.SEED + 1), chosen, threads)
     better = again.where((F.col("side") == "test") & (F.col("metric") == metric)).select("candidate", "repeat", "fold", select.signed(metric, F.col("value")).alias("value"))
     best = better.groupBy("candidate").agg(F.avg("value").alias("v")).orderBy(F.desc("v"), "candidate").first()["candidate"]
     ratio = stats.train_ratio(confirm_folds, bool(time_col))
     tests = stats.tie_group(stats.holm(stats.corrected_t(better, best, ratio).withColumn("_run", F.lit(0)), ["_run"]).drop("_run"), best)
-    preds = None
+    emit("confirm", best=best, folds=confirm_folds, repeats=confirm_repeats)
+    preds, costs = None, []
     for s in chosen:
         p = cv.predict_holdout(dev, hidden, s, keys)
+        costs.append((s.name, cv.predict_cost(p)))
         preds = p if preds is None else preds.unionByName(p)
     preds = preds.persist()
     classes = max(2, dev.select(target).distinct().count()) if task == "classification" else 2
     intervals = stats.bootstrap(preds, metric, best, keys, n_boot, classes=classes)
-    table = select.finalist_table(finalists.select("candidate", "model", "mean", "std"), tests, intervals, metric).persist()
-    pick = select.recommend(table, metric).first()
-    assert metric in metrics.TASK_METRICS[task]
-    return Comparison(task, time_col, dropped, summary, found, scores, results, tests, preds, table, pick["candidate"])
+    listed = finalists.select("candidate", "model", "mean", "std", "fit_seconds").join(df.sparkSession.createDataFrame(costs, "candidate string, predict_ms_per_1k double"), "candidate")
+    table = select.finalist_table(listed, tests, intervals, metric).persist()
+    emit("hidden_test", models=[s.name for s in chosen])
+    pick = select.recommend(table, metric).first()["candidate"]
+    top = cv.fit_final(df, next(s for s in chosen if s.name == pick), model_path)
+    emit("final_model", name=pick, path=model_path)
+    emit("report", recommended=pick, tie=[r["candidate"] for r in table.where("tie").collect()])
+    emit("run_end", seconds=round(time.time() - log[0][1], 1))
+    events = df.sparkSession.createDataFrame(log, SCHEMA)
+    if log_path:
+        append_event(events, log_path)
+    return Comparison(run_id, task, time_col, dropped, summary, found, scores, results, tests, preds, table, pick, top, events)

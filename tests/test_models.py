@@ -6,6 +6,7 @@ from assay.operators import cv, features, models, split
 from assay.operators.features import Prep
 from assay.operators.models import Spec
 from assay.plans import compare
+from assay.streaming.events import replay
 from tests.frames import churn, houses
 
 
@@ -63,7 +64,7 @@ def test_fold_statistics_do_not_see_test_rows(spark):
 
 
 def test_categories(spark):
-    df = spark.createDataFrame([(f"v{min(i % 40, 29)}", i % 2) for i in range(400)] + [(None, 0)], "c string, fold int")
+    df = spark.createDataFrame([(f"v{min(i % 40, 29)}", i // 40 % 2) for i in range(400)] + [(None, 0)], "c string, fold int")
     counts = features.category_counts(df, ["c"], "fold")
     hot = features.onehot_categories(counts, 20).where("fold = 0").collect()
     assert len({r["output"] for r in hot}) == 20 and sum(r["output"] == features.INFREQUENT for r in hot) == len(hot) - 19
@@ -92,13 +93,16 @@ def test_bad_arguments():
     assert len(models.portfolio("classification", "y")) == 15 and len(models.portfolio("regression", "y")) == 12
 
 
-def test_compare_models(spark):
-    found = compare.compare_models(churn(spark), "Churn", ["customer_id"], specs=compare.small_portfolio, folds=2, confirm_folds=2, confirm_repeats=1, n_boot=20)
+def test_compare_models(spark, tmp_path):
+    found = compare.compare_models(churn(spark), "Churn", ["customer_id"], specs=compare.small_portfolio, folds=2, confirm_folds=2, confirm_repeats=1, n_boot=20, model_path=str(tmp_path / "m"), log_path=str(tmp_path / "log"))
     assert found.task == "classification" and set(found.dropped) == {"customer_id", "refund_issued"}
     table = found.finalists.collect()
     tie = {r["candidate"] for r in table if r["tie"]}
     assert found.recommended in tie and all(r["score"] is not None for r in table) and sum(r["recommended"] for r in table) == 1
-    assert found.summary.first()["n_hidden"] == 600
+    assert found.summary.first()["n_hidden"] == 600 and all(r["predict_ms_per_1k"] > 0 and r["fit_seconds"] > 0 for r in table)
+    kinds = [r["kind"] for r in replay(spark, str(tmp_path / "log")).collect()]
+    assert kinds == ["run_start", "round_start", "leaderboard", "confirm", "hidden_test", "final_model", "report", "run_end"]
+    assert found.top_features.count() > 0 and cv.load_final(spark, str(tmp_path / "m"))[1]["name"] == found.recommended
 
 
 def test_save_and_load(spark, tmp_path):
