@@ -5,7 +5,7 @@ Their parameters are small, so that a run over the given tables takes seconds; a
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from assay.operators import cv, split
 from assay.operators.models import Spec
 from assay.plans import compare
 from assay.queries import query, table, uniform_sql
+from assay.session import shared_folder
 
 KEYS = ["c_custkey"]
 SMALLER = {"logreg": {"max_iter": 20}, "random_forest": {"n_estimators": 5, "max_depth": 4}, "gbt_leaf": {"n_estimators": 3, "num_leaves": 7}, "gbt_depth": {"n_estimators": 3, "max_depth": 3}, "mlp": {"hidden_layer_sizes": (8,), "max_iter": 15}, "ridge": {}}
@@ -101,15 +102,6 @@ def predict_holdout(spark: SparkSession, d: str) -> DataFrame:
     return cv.predict_holdout(parted.where("split = 'dev'").drop("split"), parted.where("split = 'hidden'").drop("split"), spec, KEYS)
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share; a temporary one in local sessions without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.gettempdir()}/model-{spark.sparkContext.applicationId}-{next(_numbers)}"
-
-
-_numbers = iter(range(1 << 30))
-
-
 @query()
 def fit_final(spark: SparkSession, d: str) -> DataFrame:
     return cv.fit_final(_of("rich", spark, d), _spec())
@@ -122,7 +114,7 @@ def top_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def model_save_load(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark)
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
     cv.fit_final(_of("rich", spark, d), _spec(), path)
     model, record = cv.load_final(spark, path)
     stage = model.stages[0]
