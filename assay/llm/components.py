@@ -11,21 +11,27 @@ from assay.llm.shared import cut
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, component for each node of the edges (a, b: long); component is one of its nodes.
 
-    Each round, a node joins the neighbour of lowest hashed rank (or itself), and the edges are
-    redrawn between those joined; a hash with another seed each round makes the number of rounds
-    logarithmic. Neither a node's neighbours nor a component are ever gathered: hot nodes are
-    minima with partial aggregation. Each round's edges and labels go to the checkpoint folder.
+    Each round, a node joins the node of lowest hashed rank within two steps (a star falls together
+    at once), and the edges are redrawn between those joined; a hash with another seed each round
+    makes the number of rounds logarithmic. Neither a node's neighbours nor a component are ever
+    gathered: hot nodes are minima with partial aggregation. What each round leaves goes to the
+    checkpoint folder.
     """
     edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    labels = None
     for k in range(rounds):
         if edges.isEmpty():
-            return labels
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("rank"), F.col(c).alias("node"))
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        nearest = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
-        joins = cut(nearest.select(F.col("a").alias("node"), F.least("m", rank("a"))["node"].alias("to")))
+            break
+        rank = F.struct(F.xxhash64("b", F.lit(k)).alias("rank"), F.col("b").alias("node"))
+        both = edges.select(F.inline(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])))
+        near = both.groupBy("a").agg(F.min(rank).alias("m")).withColumnRenamed("a", "b")
+        joins = cut(both.join(near, "b").groupBy("a").agg(F.min("m").alias("m")).select(F.col("a").alias("node"), F.col("m.node").alias("to")))
         to = lambda c: joins.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
         edges = cut(edges.join(to("a"), "a").join(to("b"), "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).where("a <> b").distinct())
-        labels = cut(labels.join(to("component"), "component", "left").select("node", F.coalesce("component_to", "component").alias("component")))
-    raise RuntimeError(f"components are not complete after {rounds} rounds")
+        if labels is None:
+            labels = joins.withColumnRenamed("to", "component")
+        else:
+            labels = cut(labels.join(to("component"), "component", "left").select("node", F.coalesce("component_to", "component").alias("component")))
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
+    return edges.select(F.col("a").alias("node"), F.col("a").alias("component")) if labels is None else labels
