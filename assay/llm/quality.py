@@ -55,6 +55,20 @@ def terms(texts: list[bytes]) -> np.ndarray:
     return np.sqrt(np.concatenate([*shares, np.where(np.diff(first)[:, None] > 0, repeats, 0)], axis=1)).astype(np.float32)
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def main_axes(rows: np.ndarray, dimensions: int, rounds: int = 8) -> np.ndarray:
+    """The right singular vectors of the largest singular values, by iteration on a random subspace of fixed seed."""
+    found = np.random.default_rng(0).standard_normal((rows.shape[1], dimensions + 16)).astype(np.float32)
+    for _ in range(rounds):
+        found, _ = np.linalg.qr(rows.T @ (rows @ found))
+    _, _, turn = np.linalg.svd(rows @ found, full_matrices=False)
+    axes = found @ turn[:dimensions].T
+    return np.pad(axes, ((0, 0), (0, dimensions - axes.shape[1])))
+
+
 @dataclass
 class Voters:
     weights: np.ndarray  # of the terms
@@ -66,8 +80,7 @@ class Voters:
     power: float
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        v = (rows * self.weights) @ self.axes
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        return unit((rows * self.weights) @ self.axes)
 
     def score(self, texts: list[bytes], block: int = 128) -> np.ndarray:
         """Share of label 1 among the nearest labelled texts, weighted by similarity."""
@@ -104,13 +117,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, dimensions: int
     # rows that repeat a doc_id don't make the sample larger
     found = taught.mapInArrow(run, "doc_id long, label double, terms binary").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("terms").alias("terms")).collect()
     found.sort(key=lambda r: r["doc_id"])
-    rows = np.array([np.frombuffer(r["terms"], np.float16) for r in found], np.float32).reshape(len(found), TERMS)
+    rows = np.frombuffer(b"".join(r["terms"] for r in found), np.float16).astype(np.float32).reshape(len(found), TERMS)
     label = np.array([r["label"] for r in found])
     weights = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + np.float32(0.5)
-    weighted = rows * weights
-    _, axes = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    voters = Voters(weights, np.ascontiguousarray(axes[:, ::-1][:, :dimensions]).astype(np.float32), np.zeros((0, dimensions), np.float32), label, float(label.mean()) if len(label) else 0.5, neighbours, power)
-    voters.vectors = voters.project(rows)
+    rows *= weights
+    axes = main_axes(rows, dimensions)
+    voters = Voters(weights, axes, np.zeros((0, dimensions), np.float32), label, float(label.mean()) if len(label) else 0.5, neighbours, power)
+    voters.vectors = unit(rows @ axes)
     return voters
 
 
