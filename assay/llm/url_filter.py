@@ -60,7 +60,7 @@ def filter_blocks(listed: DataFrame, keys: int, bits_per_key: int = 16, max_bloc
     return listed.groupBy(_block(F.col("key"), blocks).alias("block")).agg(*words), blocks
 
 
-def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", id_col: str = "page_id", short_list: int = 100_000) -> DataFrame:
     """page_id, host, path, rule, verdict and listed (the canonical URL, if in the list); a row for each row of pages.
 
     listed: key and verdict. A key that begins with `=` is a canonical URL; others are a host and a
@@ -85,7 +85,9 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", id_col: str
     possible = asked.join(F.broadcast(blocks_of), "block")
     for k in range(WORDS):
         possible = possible.where(F.col(f"w{k}").bitwiseAND(_mask(F.col("key"), k)) == _mask(F.col("key"), k))
-    hits = possible.select("host", "path", "key").join(entries.hint("shuffle_hash"), "key")
+    # a counted, short list goes to the hits; a long one is shuffled, and Spark splits a key that many hits share
+    exact = F.broadcast(entries) if shape["n"] <= short_list else entries.hint("shuffle_hash")
+    hits = possible.select("host", "path", "key").join(exact, "key")
     is_rule = ~F.col("key").startswith("=")
     best = hits.groupBy("host", "path").agg(
         F.max(F.when(is_rule, F.struct(F.length("key").alias("n"), "key", "verdict"))).alias("rule"),

@@ -86,6 +86,7 @@ def test_url_rules(spark):
         spam = re.sub(r"^(www|m)\.", "", h) + re.sub("/+$", "", re.sub(r"\.html$", "", p)) == "spam.net/a"
         wanted.append((i, h, p, r[1] if r else None, r[2] if r else "block" if spam else "allow", "spam.net/a" if spam else None))
     same([tuple(r) for r in url_filter.judge(pages, listed).collect()], wanted)
+    same([tuple(r) for r in url_filter.judge(pages, listed, short_list=0).collect()], wanted)
     assert url_filter.judge(pages.limit(0), listed).count() == 0
     assert {r["verdict"] for r in url_filter.judge(pages, listed.limit(0)).collect()} == {"allow"}
 
