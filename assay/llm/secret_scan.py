@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -95,8 +97,12 @@ def secrets(raw: bytes, threshold: float = 0.5) -> list[dict]:
     t = t if t is not None else raw.decode()
     found += [("hex", *m.span(), 1.0, None) for m in HEX.finditer(t)]
     if hint:
-        base = [(a, b) for _, a, b, _, _ in found]
-        found += [("literal", a, b, s, n) for a, b, s, n in lexed(t, threshold) if not any(x < b and a < y for x, y in base)]
+        base = sorted((a, b) for _, a, b, _, _ in found)
+        starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+        for a, b, s, n in lexed(t, threshold):
+            before = bisect_left(starts, b)  # base spans that start before its end
+            if not before or reach[before - 1] <= a:
+                found.append(("literal", a, b, s, n))
     found.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
     return [dict(zip(("kind", "start", "end", "score", "name"), x)) for x in found]
 
