@@ -88,8 +88,9 @@ def bootstrap(preds: DataFrame, metric: str, best: str, keys: list[str], n_boot:
 
 def intervals(scored: DataFrame, full: DataFrame, best: str) -> DataFrame:
     """The same from rep, model and value, and each model's value on all rows. Resamples without value are skipped."""
-    b = scored.where(F.col("model") == best).select("rep", F.col("value").alias("b"))
+    of_best = F.max(F.when(F.col("model") == best, F.col("value")))
     q = lambda c: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))
-    out = scored.join(b, "rep", "left").groupBy("model").agg(q(F.col("value")).alias("ci"), q(F.col("value") - F.col("b")).alias("dci"))
-    base = full.where(F.col("model") == best).select("value").scalar()
-    return full.join(out, "model", "left").select("model", F.col("value").alias("score"), F.col("ci")[0].alias("ci_lo"), F.col("ci")[1].alias("ci_hi"), (F.col("value") - base).alias("diff"), F.col("dci")[0].alias("diff_lo"), F.col("dci")[1].alias("diff_hi"))
+    out = scored.withColumn("b", of_best.over(Window.partitionBy("rep"))).groupBy("model").agg(q(F.col("value")).alias("ci"), q(F.col("value") - F.col("b")).alias("dci"))
+    # a row for each model
+    full = full.withColumn("base", of_best.over(Window.partitionBy()))
+    return full.join(out, "model", "left").select("model", F.col("value").alias("score"), F.col("ci")[0].alias("ci_lo"), F.col("ci")[1].alias("ci_hi"), (F.col("value") - F.col("base")).alias("diff"), F.col("dci")[0].alias("diff_lo"), F.col("dci")[1].alias("diff_hi"))
