@@ -41,29 +41,30 @@ def repeated_filter(hashed: DataFrame, words: int, hashes: int) -> DataFrame:
     return often.groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
 
 
-def mark_duplicates(docs: DataFrame, hashes: int = 3, bits_per_row: int = 16, max_words: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mark_duplicates(docs: DataFrame, hashes: int = 3, bits_per_row: int = 16, max_words: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256; a row for each row of docs.
 
     Texts are equal if identical; null counts as empty. Of equal texts the row of the largest
     doc_id stays, and one only if rows repeat it. A null doc_id is smaller than all others; of a
     group of only such rows one stays, and keep_id is null. Other columns are not read; an empty
-    table gives an empty table.
+    table gives an empty table. row_col, if given, holds unique longs, which come along as `row`.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    number = F.monotonically_increasing_id() if row_col is None else F.col("row")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([] if row_col is None else [F.col(row_col).alias("row")]))
     words = filter_words(docs.count(), bits_per_row, max_words)
     repeated = repeated_filter(rows.select(F.xxhash64("text").alias("h")), words, hashes)
     # at most max_words rows of 16 bytes, whatever the input
-    hashed = rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.xxhash64("text").alias("h"))
+    hashed = rows.select(*rows.drop("text").columns, F.sha2("text", 256).alias("text_sha256"), F.xxhash64("text").alias("h"))
     mask = _bits(F.col("h"), hashes)
     probed = hashed.withColumn("word", F.pmod("h", F.lit(words))).join(F.broadcast(repeated), "word", "left")
     maybe = F.coalesce(F.col("bits"), F.lit(0).cast("long")).bitwiseAND(mask) == mask
     # written once, without the texts, so that a row has the same number wherever it is read
-    probed = cut(probed.select("doc_id", "text_sha256", maybe.alias("maybe"), F.monotonically_increasing_id().alias("row")))
-    out = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    probed = cut(probed.select("doc_id", "text_sha256", maybe.alias("maybe"), number.alias("row")))
+    out = ("doc_id", "keep_id", "group_size", "kept", "text_sha256", *(() if row_col is None else ("row",)))
     repeats = probed.where("maybe").drop("maybe")
     groups = repeats.groupBy("text_sha256").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
     groups = groups.select("text_sha256", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row"), "group_size")
     # a hot group is one row on the right; Spark splits its rows on the left
     resolved = repeats.join(groups.hint("merge"), "text_sha256").withColumn("kept", F.col("row") == F.col("keep_row")).select(*out)
-    straight = probed.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    straight = probed.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *out[4:])
     return straight.unionByName(resolved)
