@@ -29,7 +29,7 @@ HEX = re.compile("[0-9a-f]{32,}")
 PARTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "private": 0.6, "bearer": 0.8, "key": 0.4}
 _HINTS = tuple(p.encode() for p in ("pass", "pwd", "secret", "token", "apikey", "credential", "auth", "private", "bearer", "key"))
 _STRING = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
-PAIR = re.compile(rf"""(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]{{0,127}})(?:["'`]?\]?|["'])[\x20\t]*(?::=|=>|=(?![=~>])|:(?!:))[\x20\t]*(?:(?P<string>{_STRING}(?:[\x20\t]*\+[\x20\t]*{_STRING})*)|(?P<bare>[^\s"'`,;\#(){{}}\[\]<>]+))|<(?P<tag>[A-Za-z_][\w.-]{{0,127}})>(?P<inner>[^<>\n]{{1,512}})</(?P=tag)>""", re.A)
+PAIR = re.compile(rf"""(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]*)(?:["'`]?\]?|["'])[\x20\t]*(?::=|=>|=(?![=~>])|:(?!:))[\x20\t]*(?:(?P<string>{_STRING}(?:[\x20\t]*\+[\x20\t]*{_STRING})*)|(?P<bare>[^\s"'`,;\#(){{}}\[\]<>]+))|<(?P<tag>[A-Za-z_][\w.-]*)>(?P<inner>[^<>\n]+)</(?P=tag)>""", re.A)
 _PIECE = re.compile(_STRING)
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*", re.A)
@@ -67,10 +67,10 @@ def lexed(t: str, threshold: float = 0.5) -> list[tuple[int, int, float, str]]:
             at, name = [(m.start("string") + p.start() + 1, m.start("string") + p.end() - 1) for p in _PIECE.finditer(m["string"])], m["name"]
         else:
             name, bare = m["name"], m["bare"]
-            if _IDENTIFIER.fullmatch(bare):  # a name: what it stands for so far, if that is known
+            if t[m.end() : m.end() + 1] in ("(", "[") and _IDENTIFIER.fullmatch(bare):  # a call or an element
                 at = literals.get(bare, [])
-            else:
-                at = [m.span("bare")]
+            else:  # what a known name stands for so far, or else the value itself
+                at = literals.get(bare, [m.span("bare")])
         if at:
             literals[name] = at
             names.append((name, at))
