@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.portable import uniform
 from assay.operators import features, filters, profile, split
 from assay.queries import query, table, uniform_sql
+from assay.session import shared_folder
 from assay.sources import tables
 from assay.streaming import events
 
@@ -40,19 +43,25 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return events.as_events(table(spark, d, "events"), "user_id", "ts", "event_type", ["event_id", "value"])
 
 
+def _logged(spark: SparkSession, d: str) -> DataFrame:
+    """The events, appended to a new log in the shared folder and replayed from there."""
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    events.append_event(_events(spark, d), path)
+    return events.replay(spark, path).withColumn("event_id", F.get_json_object("payload", "$.event_id").cast("long"))
+
+
 _EVENTS = "SELECT CAST(user_id AS VARCHAR) AS run_id, epoch_us(ts) / 1e6 AS ts, event_type AS kind, event_id, value FROM events"
 
 
 @query(f"SELECT kind, count(*) AS n, round(min(ts), 3) AS first_ts, round(max(ts), 3) AS last_ts, CAST(sum(event_id) AS BIGINT) AS ids FROM ({_EVENTS}) GROUP BY kind")
 def event_append(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d).withColumn("event_id", F.get_json_object("payload", "$.event_id").cast("long"))
+    e = _logged(spark, d)
     return e.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.min("ts"), 3).alias("first_ts"), F.round(F.max("ts"), 3).alias("last_ts"), F.sum("event_id").alias("ids"))
 
 
 @query(f"SELECT run_id, ts, kind, event_id FROM ({_EVENTS}) ORDER BY ts, run_id, kind")
 def event_replay(spark: SparkSession, d: str) -> DataFrame:
-    e = _events(spark, d).withColumn("event_id", F.get_json_object("payload", "$.event_id").cast("long"))
-    return e.orderBy("ts", "run_id", "kind").select("run_id", "ts", "kind", "event_id")
+    return _logged(spark, d).select("run_id", "ts", "kind", "event_id")
 
 
 @query(f"SELECT run_id, kind, count(*) AS n_events, max(ts) AS ts FROM ({_EVENTS}) GROUP BY run_id, kind")
