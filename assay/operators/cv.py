@@ -7,18 +7,23 @@ statistics of columns, and metrics.
 from __future__ import annotations
 
 import json
+import math
+import threading
 import time
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.operators import features, metrics
 from assay.operators.models import Spec, build_estimator, predictions, top_features
 from assay.operators.profile import kinds
+from assay.session import cut
 
 RESULT = "candidate string, repeat int, fold int, side string, metric string, value double"
 
@@ -31,55 +36,69 @@ def feature_columns(train: DataFrame, spec: Spec, keep: tuple[str, ...]) -> tupl
     return numbers, texts
 
 
+@dataclass
 class Features:
-    """Statistics of the training rows; apply() makes the vector of any rows.
+    """What the rows of one training set say about the columns; apply() makes the vector of any rows.
 
     Numbers are filled and, for scaled models, standardized by population deviation; text is
     one-hot encoded with at most `max_categories` outputs, or ordinal. A column without a value in
     the training rows is left out.
     """
 
-    def __init__(self, train: DataFrame, spec: Spec, keep: tuple[str, ...]):
-        numbers, texts = feature_columns(train, spec, keep)
-        self.spec, prep = spec, spec.prep
-        # rows of no fold are training rows of every fold
-        stats = {r["name"]: r for r in features.numeric_stats(train.withColumn("_fold", F.lit(-1)), numbers, "_fold", [0]).collect()} if numbers else {}
-        self.numbers = {c: s for c, s in stats.items() if s["median"] is not None}
-        self.texts: dict[str, tuple[str, list[str], list[str]]] = {}
-        for c in texts:
-            # the most frequent values only; their number is bounded by max_categories
-            top = train.where(F.col(f"`{c}`").isNotNull()).groupBy(F.col(f"`{c}`").alias("v")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(prep.max_categories + 1).collect()
-            if top:
-                mode = top[0]["v"]
-                own = [r["v"] for r in top] if len(top) <= prep.max_categories else [r["v"] for r in top[: prep.max_categories - 1]]
-                self.texts[c] = (mode, own, [features.INFREQUENT] if len(top) > prep.max_categories else [])
-        self.ordinals = {}
-        if prep.categorical == "ordinal":
-            self.ordinals = {c: train.where(F.col(f"`{c}`").isNotNull()).select(F.col(f"`{c}`").alias("v")).distinct() for c in self.texts}
+    spec: Spec
+    numbers: dict  # column: its median, mean and std
+    modes: dict  # column: what fills it
+    outputs: dict  # column: its one-hot outputs
+    codes: DataFrame | None  # name, value and code, for ordinal encoding
+
+    @property
+    def names(self) -> list[str]:
+        hot = [f"{c}__ord" for c in self.modes] if self.codes is not None else [f"{c}__{v}" for c in self.modes for v in self.outputs[c]]
+        return [*[f"{c}__num" for c in self.numbers], *hot]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        out, names = {}, []
+        out = []
         for c, s in self.numbers.items():
             x = F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float(s[self.spec.prep.numeric_impute])))
-            out[f"{c}__num"] = (x - F.lit(float(s["mean"]))) / F.lit(float(s["std"]) or 1.0) if self.spec.scaled else x
-            names.append(f"{c}__num")
-        for c, (mode, own, rest) in self.texts.items():
+            out.append((x - F.lit(float(s["mean"]))) / F.lit(float(s["std"]) or 1.0) if self.spec.scaled else x)
+        for i, (c, mode) in enumerate(self.modes.items()):
             v = F.coalesce(F.col(f"`{c}`"), F.lit(mode))
-            if self.spec.prep.categorical == "ordinal":
-                codes = self.ordinals[c].select(F.col("v").alias(f"_{c}"), (F.row_number().over(Window.orderBy("v")) - 1).cast("double").alias(f"{c}__ord"))
-                df = df.join(codes, v == F.col(f"_{c}"), "left").drop(f"_{c}").fillna(-1.0, [f"{c}__ord"])
-                names.append(f"{c}__ord")
+            if self.codes is not None:
+                own = self.codes.where(F.col("name") == c).select(F.col("value").alias("_v"), F.col("code").cast("double").alias(f"_c{i}"))
+                df = df.join(own, v == F.col("_v"), "left").drop("_v")
+                out.append(F.coalesce(f"_c{i}", F.lit(-1.0)))
                 continue
-            for k in own:
-                out[f"{c}__{k}"] = (v == F.lit(k)).cast("double")
-                names.append(f"{c}__{k}")
-            if rest:
-                out[f"{c}__{rest[0]}"] = (~v.isin(own)).cast("double")
-                names.append(f"{c}__{rest[0]}")
-        safe = {n: f"_f{i}" for i, n in enumerate(names)}
-        df = df.withColumns({safe[n]: e for n, e in out.items()}).withColumnsRenamed({n: safe[n] for n in names if n not in out})
-        self.names = names
-        return VectorAssembler(inputCols=list(safe.values()), outputCol="features").transform(df).drop(*safe.values())
+            own = [k for k in self.outputs[c] if k != features.INFREQUENT]
+            out += [(~v.isin(own) if k == features.INFREQUENT else v == F.lit(k)).cast("double") for k in self.outputs[c]]
+        names = [f"_f{i}" for i in range(len(out))]
+        df = df.withColumns(dict(zip(names, out)))
+        return VectorAssembler(inputCols=names, outputCol="features").transform(df).drop(*names, *[c for c in df.columns if c.startswith("_c")])
+
+
+def learn(ready: DataFrame, spec: Spec, keep: tuple[str, ...], own: str, trains: dict[int, list[int]]) -> dict[int, Features]:
+    """Features of each training set: `trains` names the values of column `own` whose rows are in it.
+
+    All sets' numbers come from one aggregate and all categories from another; the driver gets a few
+    values for each set and column.
+    """
+    numbers, texts = feature_columns(ready, spec, (own, *keep))
+    prep, stats, modes, outputs, codes = spec.prep, {f: {} for f in trains}, {f: {} for f in trains}, {f: {} for f in trains}, {}
+    if numbers:
+        for r in features.numeric_stats(ready, numbers, own, trains).collect():
+            if r["median"] is not None:
+                stats[r["fold"]][r["name"]] = r
+    if texts:
+        counts = features.category_counts(ready, texts, own, trains)
+        if prep.categorical == "ordinal":
+            counts = counts.persist()
+            codes = {f: features.ordinal_codes(counts.where(F.col("fold") == f)).drop("fold") for f in trains}
+            found = [(r["fold"], r["name"], [r["mode"]]) for r in features.impute_mode(counts).collect()]
+        else:
+            top = features.leading(counts, prep.max_categories).groupBy("fold", "name").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("top"))
+            found = [(r["fold"], r["name"], [x["value"] for x in r["top"]]) for r in top.collect()]
+        for f, c, values in sorted(found, key=lambda x: texts.index(x[1])):
+            modes[f][c], outputs[f][c] = values[0], features.outputs_of(values, prep.max_categories)
+    return {f: Features(spec, {c: stats[f][c] for c in numbers if c in stats[f]}, modes[f], outputs[f], codes.get(f)) for f in trains}
 
 
 def prepare(df: DataFrame, spec: Spec, keep: tuple[str, ...] = (), classes: DataFrame | None = None) -> DataFrame:
@@ -94,39 +113,90 @@ def prepare(df: DataFrame, spec: Spec, keep: tuple[str, ...] = (), classes: Data
     return features.clean(held.drop(spec.target), ("label", *keep))
 
 
-def _fit(train: DataFrame, spec: Spec, keep: tuple[str, ...]):
-    made = Features(train, spec, ("label", *keep))
+@dataclass
+class Facts:
+    """Of a training set: its rows, by class if it has classes, and the label's deviation."""
+
+    n: int
+    std: float
+    classes: dict[float, int]
+
+
+def facts_of(ready: DataFrame, task: str, own: str, trains: dict[int, list[int]]) -> dict[int, Facts]:
+    """Of all training sets, from one aggregate with a row for each part and class."""
+    by = [own, "label"] if task == "classification" else [own]
+    rows = ready.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("label").alias("_mean"), F.var_pop("label").alias("_var")).collect()
+    out = {}
+    for f, parts in trains.items():
+        mine = [r for r in rows if r[own] in parts]
+        n = sum(r["_n"] for r in mine)
+        mean = sum(r["_n"] * r["_mean"] for r in mine) / max(n, 1)
+        var = sum(r["_n"] * (r["_var"] + (r["_mean"] - mean) ** 2) for r in mine) / max(n, 1)
+        classes: dict[float, int] = {}
+        for r in mine if task == "classification" else []:
+            classes[r["label"]] = classes.get(r["label"], 0) + r["_n"]
+        out[f] = Facts(n, math.sqrt(var), classes)
+    return out
+
+
+def _fit(train: DataFrame, spec: Spec, made: Features, facts: Facts, n_classes: int):
+    estimator, ignored = build_estimator(spec, len(made.names), n_classes, facts.n, facts.std or 1.0)
     ready = made.apply(train)
-    facts = ready.agg(F.count("*").alias("n"), F.max("label").alias("top"), F.stddev_pop("label").alias("std")).first()
-    n_classes = int(facts["top"]) + 1 if spec.task == "classification" else 0
-    estimator, ignored = build_estimator(spec, len(made.names), n_classes, facts["n"], facts["std"] or 1.0)
     if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
-        ready = features.balanced_weights(ready, "label")
-    return made, estimator.fit(ready), n_classes, ignored
+        each = [(F.lit(c), F.lit(facts.n / (len(facts.classes) * k))) for c, k in sorted(facts.classes.items())]
+        ready = ready.withColumn("weight", F.element_at(F.create_map(*[x for pair in each for x in pair]), F.col("label")))
+    return estimator.fit(ready), ignored
 
 
-def cross_validate(df: DataFrame, spec: Spec, fold_cols: tuple[str, str] = ("repeat", "fold")) -> DataFrame:
-    """candidate, repeat, fold, side (train or test), metric, value of one candidate on rows with repeat and fold.
+class Folds:
+    """A table with folds, prepared once for all candidates of a task: its rows, training sets and their statistics.
 
-    Each fit is distributed; both sides of all metrics come from one scored table for each fold.
+    Each repeat's fold is a training set: of all other folds of the repeat or, in time, of the rows
+    before the fold's block; those of no fold, the earliest, train for all.
     """
-    rep, fold = fold_cols
-    ready = prepare(df, spec, fold_cols).persist()
-    try:
-        places = ready.where(F.col(fold).isNotNull()).select(rep, fold).distinct().orderBy(rep, fold).collect()
-        rows = []
-        for r, f in places:
-            own = ready.where(F.col(rep) == r)
-            made, model, n_classes, _ = _fit(own.where(F.col(fold) != f), spec, fold_cols)
-            scored = predictions(model.transform(made.apply(own.where(F.col(fold).isNotNull()))), spec.task, n_classes)
-            scored = scored.select(F.when(F.col(fold) == f, "test").otherwise("train").alias("side"), "label", *[c for c in ("score", "probs") if c in scored.columns]).persist()
-            for metric in metrics.TASK_METRICS[spec.task]:
-                found = metrics.score(scored, metric, ("side",), classes=max(n_classes, 2))
-                rows += [(spec.name, r, f, x["side"], metric, x["value"]) for x in found.collect()]
-            scored.unpersist()
-        return df.sparkSession.createDataFrame(rows, RESULT)
-    finally:
-        ready.unpersist()
+
+    def __init__(self, df: DataFrame, spec: Spec, fold_cols: tuple[str, str] = ("repeat", "fold"), in_time: bool = False):
+        rep, fold = fold_cols
+        self.task, self.keep, self.learned, self.lock = spec.task, fold_cols, {}, threading.Lock()
+        places = df.groupBy(rep, fold).agg(F.count("*").alias("n")).orderBy(rep, F.asc_nulls_first(fold)).collect()
+        number = F.coalesce(*[F.when(F.col(rep).eqNullSafe(F.lit(r)) & F.col(fold).eqNullSafe(F.lit(f)), i) for i, (r, f, _) in enumerate(places)], F.lit(-1))
+        self.ready = cut(prepare(df.withColumn("_own", number), spec, (*fold_cols, "_own")))
+        self.places = {i: (r, f) for i, (r, f, _) in enumerate(places) if f is not None}
+        self.trains = {i: [j for j, (q, g, _) in enumerate(places) if q == r and j != i and (g is None or not in_time or g < f)] for i, (r, f) in self.places.items()}
+        self.facts = facts_of(self.ready, spec.task, "_own", self.trains)
+        self.classes = 1 + int(max((max(x.classes, default=0) for x in self.facts.values()), default=0)) if spec.task == "classification" else 0
+
+    def features(self, spec: Spec) -> dict[int, Features]:
+        """Learned once for all candidates with the same preprocessing."""
+        key = (spec.prep.categorical, spec.prep.max_categories)
+        with self.lock:
+            if key not in self.learned:
+                self.learned[key] = learn(self.ready, spec, ("label", *self.keep), "_own", self.trains)
+            return {i: replace(x, spec=spec) for i, x in self.learned[key].items()}
+
+    def scored(self, spec: Spec, i: int) -> DataFrame:
+        """repeat, fold, side, label and score or probs of the rows of one fold and of its training set, by a model fitted on the latter."""
+        made, (r, f) = self.features(spec)[i], self.places[i]
+        model, _ = _fit(self.ready.where(F.col("_own").isin(self.trains[i])), spec, made, self.facts[i], self.classes)
+        own = self.ready.where(F.col("_own").isin([i, *self.trains[i]]))
+        out = predictions(model.transform(made.apply(own)), spec.task, self.classes)
+        side = F.when(F.col("_own") == i, "test").otherwise("train").alias("side")
+        return out.select(F.lit(r).alias("repeat"), F.lit(f).alias("fold"), side, "label", *[c for c in ("score", "probs") if c in out.columns])
+
+    def scores(self, spec: Spec, parts: list[DataFrame], each: int = 100_000) -> list[tuple]:
+        """candidate, repeat, fold, side, metric and value: each metric in one job for all folds."""
+        if not parts:
+            return []
+        rows = sum(self.facts[i].n for i in self.places)
+        scored, by = cut(reduce(DataFrame.unionByName, parts).coalesce(math.ceil((rows + 1) / each))), ("repeat", "fold", "side")
+        found = [metrics.score(scored, m, by, classes=max(self.classes, 2)).withColumn("metric", F.lit(m)) for m in metrics.TASK_METRICS[spec.task]]
+        return [(spec.name, *x) for x in reduce(DataFrame.unionByName, found).select(*by, "metric", "value").collect()]
+
+
+def cross_validate(df: DataFrame, spec: Spec, fold_cols: tuple[str, str] = ("repeat", "fold"), in_time: bool = False) -> DataFrame:
+    """candidate, repeat, fold, side (train or test), metric, value of one candidate on rows with repeat and fold (see `Folds`)."""
+    folds = Folds(df, spec, fold_cols, in_time)
+    return df.sparkSession.createDataFrame(folds.scores(spec, [folds.scored(spec, i) for i in folds.places]), RESULT).coalesce(1)
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -142,30 +212,56 @@ def cv_summary(scores: DataFrame) -> DataFrame:
     return out.withColumn("folds", F.transform("folds", lambda x: x["value"]))
 
 
-def run_round(df: DataFrame, specs: list[Spec], threads: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Long scores of all candidates that worked; and name, model, ok, error, fit_seconds of each."""
+def run_round(df: DataFrame, specs: list[Spec], threads: int = 6, in_time: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Long scores of all candidates that worked; and name, model, ok, error, fit_seconds of each.
+
+    Candidates share the prepared rows and their statistics; a few are fitted at a time.
+    """
     if len({s.name for s in specs}) < len(specs):
         raise ValueError("candidate names repeat")
+    shared: dict[tuple, Folds] = {}
+    for s in specs:
+        if (s.task, s.target, s.drop) not in shared:
+            shared[s.task, s.target, s.drop] = Folds(df, s, in_time=in_time)
 
-    def one(spec: Spec):
+    def tried(job):
         began = time.time()
         try:
-            return spec, cross_validate(df, spec).collect(), None, time.time() - began  # a row for each fold and metric
+            return job(), None, time.time() - began
         except Exception as e:  # a failing candidate is a result, not the round's end
-            return spec, [], f"{type(e).__name__}: {e}"[:1500], time.time() - began
+            return None, f"{type(e).__name__}: {e}"[:1500], time.time() - began
+
+    def ended(spec: Spec) -> tuple:
+        mine = [x for s, x in zip(owners, fits) if s is spec]
+        wrong = next((e for _, e, _ in mine if e), None)
+        rows, wrong, took = (None, wrong, 0.0) if wrong else tried(lambda: of(spec).scores(spec, [x for x, _, _ in mine]))
+        return rows or [], wrong, took + sum(t for _, _, t in mine)
 
+    of = lambda s: shared[s.task, s.target, s.drop]
+    owners, parts = zip(*[(s, i) for s in specs for i in of(s).places]) if specs else ((), ())
     with ThreadPoolExecutor(threads) as pool:
-        done = list(pool.map(one, specs))
+        fits = list(pool.map(lambda s, i: tried(lambda: of(s).scored(s, i)), owners, parts))
+        done = list(pool.map(ended, specs))
     spark = df.sparkSession
-    status = [(s.name, s.model, e is None, e, t) for s, _, e, t in done]
-    return spark.createDataFrame([tuple(r) for _, rows, _, _ in done for r in rows], RESULT), spark.createDataFrame(status, "candidate string, model string, ok boolean, error string, fit_seconds double")
+    status = [(s.name, s.model, e is None, e, t) for s, (_, e, t) in zip(specs, done)]
+    # a row for each candidate, fold and metric
+    return spark.createDataFrame([r for rows, _, _ in done for r in rows], RESULT).coalesce(1), spark.createDataFrame(status, "candidate string, model string, ok boolean, error string, fit_seconds double").coalesce(1)
+
+
+def fit_whole(ready: DataFrame, spec: Spec, keep: tuple[str, ...] = ()):
+    """Features, model, number of classes and ignored parameters of one candidate on all rows of a prepared table."""
+    ready, one = ready.withColumn("_own", F.lit(0)), {0: [0]}
+    made, facts = learn(ready, spec, ("label", *keep), "_own", one)[0], facts_of(ready, spec.task, "_own", one)[0]
+    n_classes = 1 + int(max(facts.classes, default=0)) if spec.task == "classification" else 0
+    model, ignored = _fit(ready, spec, made, facts, n_classes)
+    return made, model, n_classes, ignored
 
 
 def predict_holdout(dev: DataFrame, hidden: DataFrame, spec: Spec, keys: list[str]) -> DataFrame:
     """model, keys, label, and score or probs of the hidden rows of known class, by a model fitted on dev; 6 decimals."""
     classes = dev.select(spec.target) if spec.task == "classification" else None
     keep = tuple(k for k in keys)
-    made, model, n_classes, _ = _fit(prepare(dev, spec, keep), spec, keep)
+    made, model, n_classes, _ = fit_whole(cut(prepare(dev, spec, keep)), spec, keep)
     scored = predictions(model.transform(made.apply(prepare(hidden, spec, keep, classes))), spec.task, n_classes)
     value = F.round("score", 6).alias("score") if "score" in scored.columns else F.transform("probs", lambda p: F.round(p, 6)).alias("probs")
     return scored.select(F.lit(spec.name).alias("model"), *keys, "label", value)
@@ -180,7 +276,7 @@ def predict_cost(preds: DataFrame) -> float:
 
 def fit_final(df: DataFrame, spec: Spec, path: str | None = None, top: int = 10) -> DataFrame:
     """name and importance of the top features of the candidate fitted on all rows; the model and its spec go to path."""
-    made, model, _, ignored = _fit(prepare(df, spec), spec, ())
+    made, model, _, ignored = fit_whole(cut(prepare(df, spec)), spec)
     if path:
         PipelineModel([model]).write().overwrite().save(f"{path}/model")
         record = {"name": spec.name, "model": spec.model, "task": spec.task, "target": spec.target, "params": spec.params, "features": made.names, "ignored_params": ignored}

@@ -1,7 +1,6 @@
 """Features with statistics learned on training folds only.
 
-Statistics come in one aggregate over all folds (of each fold's training rows, that is all rows but
-the fold's own) and are applied by a join with one row for each fold.
+Statistics of the training rows of all folds come in one aggregate of numbers and one of categories.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 
 from assay.functions.portable import nan_to_null
 from assay.operators.profile import kinds
+from assay.operators.rank import rank_by_text
 
 INFREQUENT = "__infrequent__"
 
@@ -71,20 +71,24 @@ def label_encode(df: DataFrame, target: str, classes: DataFrame | None = None, n
     return df.join(F.broadcast(codes), F.col(target).cast("string") == F.col("_class"), "left" if classes is None else "inner").drop("_class")
 
 
-def _train_folds(df: DataFrame, fold_col: str, fold: int) -> Column:
-    return F.col(fold_col) != fold
-
-
 def fold_values(df: DataFrame, fold_col: str) -> list[int]:
     return sorted(r[0] for r in df.where(F.col(fold_col).isNotNull()).select(fold_col).distinct().collect())
 
 
-def numeric_stats(df: DataFrame, columns: list[str], fold_col: str, folds: list[int] | None = None) -> DataFrame:
-    """fold, name, median, mean and std (population) of each fold's training rows, in one aggregate."""
-    folds = fold_values(df, fold_col) if folds is None else folds
+def all_but_own(folds: list[int]) -> dict[int, list[int]]:
+    """Each fold's training rows are those of all other folds."""
+    return {f: [g for g in folds if g != f] for f in folds}
+
+
+def numeric_stats(df: DataFrame, columns: list[str], fold_col: str, trains: dict[int, list[int]] | None = None) -> DataFrame:
+    """fold, name, median, mean and std (population) of each fold's training rows, in one aggregate.
+
+    trains: the values of fold_col that train for each fold; all but its own if not given.
+    """
+    trains = all_but_own(fold_values(df, fold_col)) if trains is None else trains
     row, cells = [], []
-    for f in folds:
-        train = _train_folds(df, fold_col, f)
+    for f, own in trains.items():
+        train = F.col(fold_col).isin(own)
         for i, c in enumerate(columns):
             x = F.when(train, F.col(f"`{c}`").cast("double"))
             row += [F.percentile(x, F.lit(0.5)).alias(f"median_{f}_{i}"), F.avg(x).alias(f"mean_{f}_{i}"), F.stddev_pop(x).alias(f"std_{f}_{i}")]
@@ -92,15 +96,15 @@ def numeric_stats(df: DataFrame, columns: list[str], fold_col: str, folds: list[
     return df.agg(*row).select(F.inline(F.array(*cells)))
 
 
-def category_counts(df: DataFrame, columns: list[str], fold_col: str) -> DataFrame:
-    """fold, name, value and n of each fold's training rows: totals less the fold's own."""
+def category_counts(df: DataFrame, columns: list[str], fold_col: str, trains: dict[int, list[int]] | None = None) -> DataFrame:
+    """fold, name, value and n of each fold's training rows: sums of the counts of those that train for it (see `numeric_stats`)."""
+    trains = all_but_own(fold_values(df, fold_col)) if trains is None else trains
     cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
-    own = df.select(F.col(fold_col).alias("fold"), F.inline(cells)).where("value is not null").groupBy("fold", "name", "value").agg(F.count("*").alias("n"))
-    totals = own.groupBy("name", "value").agg(F.sum("n").alias("total"))
-    folds = df.agg(F.array_sort(F.collect_set(fold_col)).alias("folds"))  # a few numbers
-    every = totals.withColumn("fold", F.explode(folds.select("folds").scalar()))
-    joined = every.join(own, ["fold", "name", "value"], "left")
-    return joined.select("fold", "name", "value", (F.col("total") - F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
+    own = df.select(F.col(fold_col).alias("_own"), F.inline(cells)).where("value is not null").groupBy("_own", "name", "value").agg(F.count("*").alias("n"))
+    # a few numbers for each of the folds
+    taught = F.array(*[F.when(F.col("_own").isin(o), F.lit(f)) for f, o in trains.items()])
+    each = own.select(F.explode(F.filter(taught, lambda f: f.isNotNull())).alias("fold"), "name", "value", "n")
+    return each.groupBy("fold", "name", "value").agg(F.sum("n").alias("n"))
 
 
 def impute_mode(counts: DataFrame) -> DataFrame:
@@ -108,16 +112,29 @@ def impute_mode(counts: DataFrame) -> DataFrame:
     return counts.groupBy("fold", "name").agg(F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"].alias("mode"))
 
 
+def leading(counts: DataFrame, most: int) -> DataFrame:
+    """fold, name, value and place (from 1) of the `most` most frequent values and one more; ties by value."""
+    place = F.row_number().over(Window.partitionBy("fold", "name").orderBy(F.desc("n"), "value"))
+    return counts.select("fold", "name", "value", place.alias("place")).where(F.col("place") <= most + 1)
+
+
+def outputs_of(values: list[str], max_categories: int) -> list[str]:
+    """One-hot outputs of leading values in order: their own, or the first ones' and one for all others."""
+    return values if len(values) <= max_categories else [*values[: max_categories - 1], INFREQUENT]
+
+
 def onehot_categories(counts: DataFrame, max_categories: int = 20) -> DataFrame:
     """fold, name, value and output: own ones for the most frequent values; one for all others if they are too many."""
-    sized = counts.withColumn("_levels", F.count("*").over(Window.partitionBy("fold", "name"))).withColumn("_place", F.row_number().over(Window.partitionBy("fold", "name").orderBy(F.desc("n"), "value")))
-    own = (F.col("_levels") <= max_categories) | (F.col("_place") < max_categories)
-    return sized.select("fold", "name", "value", F.when(own, F.col("value")).otherwise(INFREQUENT).alias("output"))
+    listed = leading(counts, max_categories).groupBy("fold", "name").agg(F.count("*").alias("_n"), F.map_from_entries(F.collect_list(F.struct("value", "place"))).alias("_places"))
+    # a row of a few values for each fold and column
+    joined = counts.join(F.broadcast(listed), ["fold", "name"])
+    own = (F.col("_n") <= max_categories) | (F.col("_places")[F.col("value")] < max_categories)
+    return joined.select("fold", "name", "value", F.when(F.coalesce(own, F.lit(False)), F.col("value")).otherwise(INFREQUENT).alias("output"))
 
 
 def ordinal_codes(counts: DataFrame) -> DataFrame:
     """fold, name, value and its place, from 0, among the training values in order."""
-    return counts.select("fold", "name", "value", (F.row_number().over(Window.partitionBy("fold", "name").orderBy("value")) - 1).alias("code"))
+    return rank_by_text(counts.select("fold", "name", "value"), "value", ["fold", "name"], "code").withColumn("code", F.col("code") - 1)
 
 
 def impute(df: DataFrame, columns: list[str], stats: DataFrame, fold: int, how: str = "median", scale: bool = False) -> DataFrame:

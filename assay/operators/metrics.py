@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.operators.rank import cuts_of, in_cuts
+
 HIGHER_IS_BETTER = {"rmse": False, "mae": False, "r2": True, "roc_auc": True, "accuracy": True, "f1_macro": True}
 TASK_METRICS = {"regression": ("rmse", "mae", "r2"), "classification": ("roc_auc", "accuracy", "f1_macro")}
 
@@ -53,17 +55,17 @@ def f1_macro(preds: DataFrame, by: list[str], classes: int, weight: str | None =
     return cells.groupBy(*by).agg((reduce(lambda a, b: a + b, each) / classes).alias("value"))
 
 
-def roc_auc(preds: DataFrame, by: list[str], weight: str | None = None, buckets: int = 256) -> DataFrame:
+def roc_auc(preds: DataFrame, by: list[str], weight: str | None = None, spread: DataFrame | None = None) -> DataFrame:
     """Probability that a positive's score exceeds a negative's, ties counting half; null with one class only.
 
-    Rows are first counted for each distinct score; running sums go over ranges of scores, whose
-    totals are a few hundred rows for each group.
+    Rows are first counted for each distinct score; running sums go over ranges of scores that hold
+    about equally many, whose totals are a few hundred rows for each group. spread: where the ranges
+    come from, if not from preds; results don't depend on it.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    ranges = cuts_of(preds if spread is None else spread, "score")
     points = preds.groupBy(*by, "score").agg(F.sum(w * (F.col("label") == 1).cast("double")).alias("pos"), F.sum(w * (F.col("label") == 0).cast("double")).alias("neg"))
-    bounds = preds.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
-    points = points.withColumn("_b", F.coalesce(F.floor(F.try_divide((F.col("score") - lo) * buckets, hi - lo)), F.lit(0)))
+    points = in_cuts(points, "score", ranges, "_b")
     totals = points.groupBy(*by, "_b").agg(F.sum("neg").alias("n"))
     before = totals.select(*by, "_b", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
     inside = F.coalesce(F.sum("neg").over(Window.partitionBy(*by, "_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -71,15 +73,19 @@ def roc_auc(preds: DataFrame, by: list[str], weight: str | None = None, buckets:
     return placed.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * (F.col("_before") + F.col("_inside") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("value"))
 
 
-def roc_auc_ovr(preds: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+def _one_vs_rest(preds: DataFrame, kept: list[str]) -> DataFrame:
+    return preds.select(*kept, "label", F.posexplode("probs").alias("_class", "score")).withColumn("label", (F.col("label") == F.col("_class")).cast("int"))
+
+
+def roc_auc_ovr(preds: DataFrame, by: list[str], weight: str | None = None, spread: DataFrame | None = None) -> DataFrame:
     """Mean over classes of each against the rest; null if some class has no rows or all."""
-    kept = [*by, *([weight] if weight else [])]
-    each = preds.select(*kept, "label", F.posexplode("probs").alias("_class", "score")).withColumn("label", (F.col("label") == F.col("_class")).cast("int"))
-    return roc_auc(each, [*by, "_class"], weight).groupBy(*by).agg(F.when(F.count("value") == F.count("*"), F.avg("value")).alias("value"))
+    each = _one_vs_rest(preds, [*by, *([weight] if weight else [])])
+    spread = None if spread is None else _one_vs_rest(spread, [])
+    return roc_auc(each, [*by, "_class"], weight, spread).groupBy(*by).agg(F.when(F.count("value") == F.count("*"), F.avg("value")).alias("value"))
 
 
-def score(preds: DataFrame, metric: str, by: tuple[str, ...] = ("model",), weight: str | None = None, classes: int = 2) -> DataFrame:
-    """by and value. An unknown metric is a ValueError."""
+def score(preds: DataFrame, metric: str, by: tuple[str, ...] = ("model",), weight: str | None = None, classes: int = 2, spread: DataFrame | None = None) -> DataFrame:
+    """by and value. spread: see `roc_auc`. An unknown metric is a ValueError."""
     if metric not in HIGHER_IS_BETTER:
         raise ValueError(f"unknown metric {metric}; there are {sorted(HIGHER_IS_BETTER)}")
     by = list(by)
@@ -89,4 +95,4 @@ def score(preds: DataFrame, metric: str, by: tuple[str, ...] = ("model",), weigh
         return accuracy(preds, by, weight)
     if metric == "f1_macro":
         return f1_macro(preds, by, classes, weight)
-    return roc_auc_ovr(preds, by, weight) if "probs" in preds.columns else roc_auc(preds, by, weight)
+    return (roc_auc_ovr if "probs" in preds.columns else roc_auc)(preds, by, weight, spread)

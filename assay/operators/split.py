@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions.portable import text_hash
-from assay.operators.rank import rank_by_hash, rank_by_value
+from assay.operators.rank import cuts_of, in_cuts, rank_by_hash, rank_by_value
 
 SEED = 42
 
@@ -37,10 +37,7 @@ def sorted_time_columns(df: DataFrame, target: str, order_col: str) -> DataFrame
     if not times:
         return df.sparkSession.createDataFrame([], "name string, n_values long, in_order boolean")
     # a row's predecessor is the one before in its bucket, or the last of the bucket before
-    span = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
-    width = max(1.0, ((span["hi"] or 0) - (span["lo"] or 0) + 1) / 256) if isinstance(df.schema[order_col].dataType, T.NumericType) else None
-    bucket = F.floor((F.col(order_col) - span["lo"]) / width) if width else F.lit(0)
-    rows = df.select(bucket.alias("_b"), F.col(order_col).alias("_o"), *times)
+    rows = in_cuts(df.select(F.col(order_col).alias("_o"), *times), "_o", cuts_of(df, order_col), "_b")
     out = None
     for c in times:
         inside = Window.partitionBy("_b").orderBy("_o")
@@ -83,17 +80,18 @@ def holdout_time(df: DataFrame, time_col: str, keys: list[str], hidden: float =
 
 def holdout_random(df: DataFrame, keys: list[str], hidden: float = 0.2, seed: int = SEED) -> DataFrame:
     """Adds split: the ceil(hidden n) rows of smallest hashed key are `hidden`."""
-    n_hidden = math.ceil(round(hidden * df.count(), 9))
-    return rank_by_hash(df, text_hash(seed, *keys), keys, name="_rank").withColumn("split", F.when(F.col("_rank") <= n_hidden, "hidden").otherwise("dev")).drop("_rank")
+    n = df.count()
+    n_hidden = math.ceil(round(hidden * n, 9))
+    return rank_by_hash(df, text_hash(seed, *keys), keys, name="_rank", rows=n).withColumn("split", F.when(F.col("_rank") <= n_hidden, "hidden").otherwise("dev")).drop("_rank")
 
 
 def holdout_stratified(df: DataFrame, label: str, keys: list[str], hidden: float = 0.2, seed: int = SEED) -> DataFrame:
     """Adds split, with each class's share on both sides; unstratified if some class has one row only."""
-    smallest = df.groupBy(label).count().agg(F.min("count")).first()[0]
+    smallest, n = df.groupBy(label).count().agg(F.min("count"), F.sum("count")).first()
     if smallest is None or smallest < 2:
         return holdout_random(df, keys, hidden, seed)
     quotas = _quotas(df, label, F.ceil(F.round(F.col("_all") * hidden, 9)))
-    ranked = rank_by_hash(df, text_hash(seed, *keys), keys, [label], "_rank")
+    ranked = rank_by_hash(df, text_hash(seed, *keys), keys, [label], "_rank", n)
     # a row for each class
     joined = ranked.alias("l").join(F.broadcast(quotas).alias("r"), F.col(f"l.{label}").eqNullSafe(F.col(f"r.{label}"))).select("l.*", "r._quota")
     return joined.withColumn("split", F.when(F.col("_rank") <= F.col("_quota"), "hidden").otherwise("dev")).drop("_rank", "_quota")
@@ -106,16 +104,16 @@ def split_holdout(df: DataFrame, target: str, task: str, keys: list[str], time_c
     return holdout_stratified(df, target, keys, hidden, seed) if task == "classification" else holdout_random(df, keys, hidden, seed)
 
 
-def fold_kfold(df: DataFrame, k: int, keys: list[str], seed: int = SEED, repeat: int = 0) -> DataFrame:
+def fold_kfold(df: DataFrame, k: int, keys: list[str], seed: int = SEED, repeat: int = 0, rows: int | None = None) -> DataFrame:
     """Adds fold, 0 to k-1, shuffled by hash; sizes differ by one at most."""
-    return rank_by_hash(df, text_hash(f"{seed}.{repeat}", *keys), keys, name="_rank").withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+    return rank_by_hash(df, text_hash(f"{seed}.{repeat}", *keys), keys, name="_rank", rows=rows).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
-def fold_stratified(df: DataFrame, k: int, label: str, keys: list[str], seed: int = SEED, repeat: int = 0) -> DataFrame:
+def fold_stratified(df: DataFrame, k: int, label: str, keys: list[str], seed: int = SEED, repeat: int = 0, rows: int | None = None) -> DataFrame:
     """Adds fold, so that in each class and in all sizes differ by one at most: classes follow each other round-robin."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_size"))
     offsets = sizes.select(label, F.coalesce(F.sum("_size").over(Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
-    ranked = rank_by_hash(df, text_hash(f"{seed}.{repeat}", *keys), keys, [label], "_rank")
+    ranked = rank_by_hash(df, text_hash(f"{seed}.{repeat}", *keys), keys, [label], "_rank", rows)
     joined = ranked.alias("l").join(F.broadcast(offsets).alias("r"), F.col(f"l.{label}").eqNullSafe(F.col(f"r.{label}"))).select("l.*", "r._offset")
     return joined.withColumn("fold", ((F.col("_offset") + F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_offset")
 
@@ -148,10 +146,11 @@ def timeseries_train(df: DataFrame, k: int, n: int) -> DataFrame:
 def assign_folds(df: DataFrame, k: int, keys: list[str], repeats: int = 1, stratify: str | None = None, time_col: str | None = None, seed: int = SEED) -> DataFrame:
     """Adds repeat and fold. Folds in time have one repeat."""
     if time_col:
-        return fold_timeseries(df, k, time_col, keys).withColumn("repeat", F.lit(0))
+        return fold_timeseries(df, k, time_col, keys).drop("pos").withColumn("repeat", F.lit(0))
+    n = df.count()
     if stratify:
-        return repeated(df, repeats, lambda d, r: fold_stratified(d, k, stratify, keys, seed, r))
-    return repeated(df, repeats, lambda d, r: fold_kfold(d, k, keys, seed, r))
+        return repeated(df, repeats, lambda d, r: fold_stratified(d, k, stratify, keys, seed, r, n))
+    return repeated(df, repeats, lambda d, r: fold_kfold(d, k, keys, seed, r, n))
 
 
 def cross_split_duplicates(dev: DataFrame, hidden: DataFrame, target: str, exclude: tuple[str, ...] = ()) -> DataFrame:

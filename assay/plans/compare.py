@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from assay.operators import cv, profile, select, split, stats
 from assay.operators.filters import drop_missing_target, require_columns
 from assay.operators.models import MENU, Spec, portfolio
+from assay.session import cut
 from assay.streaming.events import SCHEMA, append_event
 
 MAX_ROUNDS, MAX_CANDIDATES = 3, 8
@@ -65,11 +68,12 @@ def check_round(specs: list[Spec], earlier: list[str], number: int) -> list[Spec
     return out
 
 
-def compare_models(df: DataFrame, target: str, keys: list[str], order_col: str | None = None, task: str | None = None, specs=None, folds: int = 5, confirm_folds: int = 5, confirm_repeats: int = 2, n_boot: int = 200, threads: int = 3, model_path: str | None = None, log_path: str | None = None) -> Comparison:
+def compare_models(df: DataFrame, target: str, keys: list[str], order_col: str | None = None, task: str | None = None, specs=None, later=(), folds: int = 5, confirm_folds: int = 2, confirm_repeats: int = 5, n_boot: int = 2000, threads: int = 6, model_path: str | None = None, log_path: str | None = None) -> Comparison:
     """Compares candidates on 80 % of the rows and scores the finalists once on the rest.
 
-    specs: a function of task, target and dropped columns; the portfolio if None. Scores are by
-    roc_auc or rmse. Rows without target are left out; keys make splits and folds independent of
+    specs: a function of task, target and dropped columns; the portfolio if None. later: for each
+    further round, two at most, a function of the results so far (a DataFrame), task, target and
+    dropped columns that gives its candidates, eight at most. Scores are by roc_auc or rmse. Rows without target are left out; keys make splits and folds independent of
     how the table is partitioned. The winner is fitted on all rows, and saved to model_path; the
     run's events are appended to the log at log_path.
     """
@@ -84,43 +88,53 @@ def compare_models(df: DataFrame, target: str, keys: list[str], order_col: str |
     metric = "roc_auc" if task == "classification" else "rmse"
     time_col = split.sorted_time_column(df, target, order_col) if order_col else None
     emit("run_start", target=target, task=task, metric=metric, time_col=time_col)
-    parted = split.split_holdout(df, target, task, keys, time_col).persist()
+    df = cut(df)
+    parted = cut(split.split_holdout(df, target, task, keys, time_col))
     dev, hidden = (parted.where(F.col("split") == s).drop("split") for s in ("dev", "hidden"))
-    found = profile.column_profile(dev, target, task).persist()
+    found = cut(profile.column_profile(dev, target, task))
     dropped = sorted(r["name"] for r in profile.auto_drop_columns(found).collect())
     summary = split.split_summary(parted, "time" if time_col else "random, stratified" if task == "classification" else "random", target)
-    candidates = check_round((specs or portfolio)(task, target, tuple(dropped)), [], 1)
 
     def folded(k: int, repeats: int, seed: int) -> DataFrame:
         return split.assign_folds(dev, k, keys, repeats, target if task == "classification" else None, time_col, seed)
 
-    emit("round_start", round=1, candidates=[c.name for c in candidates], dropped=dropped)
-    scores, status = cv.run_round(folded(folds, 1, split.SEED), candidates, threads)
-    results = cv.cv_summary(scores.where(F.col("metric") == metric)).drop("metric")
-    results = status.join(results, "candidate", "left")
-    results = select.flag_suspicious(select.overfit_gap(results, metric), metric).persist()
+    candidates, results, scores = [], None, None
+    in_folds = cut(folded(folds, 1, split.SEED))
+    for number, propose in enumerate([specs or portfolio, *later], 1):
+        proposed = propose(task, target, tuple(dropped)) if number == 1 else propose(results, task, target, tuple(dropped))
+        proposed = check_round(proposed, [c.name for c in candidates], number)
+        candidates += proposed
+        emit("round_start", round=number, candidates=[c.name for c in proposed], dropped=dropped)
+        new, status = cv.run_round(in_folds, proposed, threads, bool(time_col))
+        found_now = status.join(cv.cv_summary(new.where(F.col("metric") == metric)).drop("metric"), "candidate", "left")
+        found_now = select.flag_suspicious(select.overfit_gap(found_now, metric), metric)
+        scores = new if scores is None else scores.unionByName(new)
+        results = (found_now if results is None else results.unionByName(found_now)).persist()
+        emit("leaderboard", round=number, best=[r["candidate"] for r in select.leaderboard(results, metric).where("place <= 3").collect()])
     finalists = select.top_finalists(results, metric).persist()
     names = {r["candidate"]: r["is_best"] for r in finalists.collect()}  # three at most
     if not names:
-        raise RuntimeError("no candidate worked: " + "; ".join(f"{r['candidate']}: {r['error']}" for r in status.collect()))
-    emit("leaderboard", round=1, finalists=sorted(names))
+        raise RuntimeError("no candidate worked: " + "; ".join(f"{r['candidate']}: {r['error']}" for r in results.collect()))
     chosen = [s for s in candidates if s.name in names]
-    again, _ = cv.run_round(folded(confirm_folds, confirm_repeats, split.SEED + 1), chosen, threads)
+    again, _ = cv.run_round(cut(folded(confirm_folds, confirm_repeats, split.SEED + 1)), chosen, threads, bool(time_col))
     better = again.where((F.col("side") == "test") & (F.col("metric") == metric)).select("candidate", "repeat", "fold", select.signed(metric, F.col("value")).alias("value"))
     best = better.groupBy("candidate").agg(F.avg("value").alias("v")).orderBy(F.desc("v"), "candidate").first()["candidate"]
     ratio = stats.train_ratio(confirm_folds, bool(time_col))
     tests = stats.tie_group(stats.holm(stats.corrected_t(better, best, ratio).withColumn("_run", F.lit(0)), ["_run"]).drop("_run"), best)
     emit("confirm", best=best, folds=confirm_folds, repeats=confirm_repeats)
-    preds, costs = None, []
-    for s in chosen:
+
+    def predicted(s: Spec) -> tuple[DataFrame, float]:
         p = cv.predict_holdout(dev, hidden, s, keys)
-        costs.append((s.name, cv.predict_cost(p)))
-        preds = p if preds is None else preds.unionByName(p)
-    preds = preds.persist()
+        return cut(p), cv.predict_cost(p)
+
+    with ThreadPoolExecutor(threads) as pool:
+        each = list(pool.map(predicted, chosen))
+    costs = [(s.name, c) for s, (_, c) in zip(chosen, each)]
+    preds = reduce(DataFrame.unionByName, [p for p, _ in each])
     classes = max(2, dev.select(target).distinct().count()) if task == "classification" else 2
     intervals = stats.bootstrap(preds, metric, best, keys, n_boot, classes=classes)
-    listed = finalists.select("candidate", "model", "mean", "std", "fit_seconds").join(df.sparkSession.createDataFrame(costs, "candidate string, predict_ms_per_1k double"), "candidate")
-    table = select.finalist_table(listed, tests, intervals, metric).persist()
+    listed = finalists.select("candidate", "model", "mean", "std", "fit_seconds").join(df.sparkSession.createDataFrame(costs, "candidate string, predict_ms_per_1k double").coalesce(1), "candidate")
+    table = cut(select.finalist_table(listed, tests, cut(intervals), metric))
     emit("hidden_test", models=[s.name for s in chosen])
     pick = select.recommend(table, metric).first()["candidate"]
     top = cv.fit_final(df, next(s for s in chosen if s.name == pick), model_path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.portable import uniform
 from assay.operators import features, filters, profile, split
-from assay.queries import query, table, uniform_sql
+from assay.queries import hash_sql, query, table, uniform_sql
 from assay.session import shared_folder
 from assay.sources import tables
 from assay.streaming import events
@@ -93,10 +93,13 @@ def drop_columns(spark: SparkSession, d: str) -> DataFrame:
     return filters.drop_columns(table(spark, d, "part"), ["p_brand", "p_type", "no_such_column", "p_retailprice"], target="p_retailprice")
 
 
-@query("SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IN (SELECT o_orderpriority FROM orders WHERE o_orderkey % 1000 = 7) GROUP BY 1")
+@query(f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY {hash_sql("'42'", "CAST(p_partkey AS VARCHAR)")}, p_partkey) <= ceil(round(0.2 * count(*) OVER (), 9)) AS hidden FROM part)
+SELECT p_type, count(*) AS n FROM r WHERE hidden AND p_type IN (SELECT p_type FROM r WHERE NOT hidden) GROUP BY 1""")
 def filter_known_labels(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders")
-    return filters.filter_known_labels(orders, "o_orderpriority", orders.where("o_orderkey % 1000 = 7")).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    """Hidden parts whose type the other parts have too."""
+    parted = split.holdout_random(table(spark, d, "part"), ["p_partkey"])
+    known = filters.filter_known_labels(parted.where("split = 'hidden'"), "p_type", parted.where("split = 'dev'"))
+    return known.groupBy("p_type").agg(F.count("*").alias("n"))
 
 
 _GUESSES = (("orders", "o_orderstatus", "'classification'"), ("lineitem", "l_linenumber", "CASE WHEN n_missing = 0 AND n_distinct <= 20 THEN 'classification' ELSE 'regression' END"), ("part", "p_size", "CASE WHEN n_missing = 0 AND n_distinct <= 20 THEN 'classification' ELSE 'regression' END"), ("orders", "o_totalprice", "'regression'"))
@@ -306,7 +309,7 @@ def _stat(name: str, sql: str, digits: int = 6):
     text = f"WITH {FOLDED} " + _union(f"SELECT folds.fold, '{c}' AS name, round({sql.format(c)}, {digits}) AS {name} FROM folds JOIN folded ON folded.fold <> folds.fold GROUP BY folds.fold" for c in _NUMERIC)
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return features.numeric_stats(_folded(spark, d), list(_NUMERIC), "fold", [0, 1, 2]).select("fold", "name", F.round(name, digits).alias(name))
+        return features.numeric_stats(_folded(spark, d), list(_NUMERIC), "fold").select("fold", "name", F.round(name, digits).alias(name))
 
     query(text, {"median": "impute_median", "mean": "impute_mean"}[name])(run)
 

@@ -75,10 +75,24 @@ def ridge_cv_1d(spark: SparkSession, d: str) -> DataFrame:
 def featurize(spark: SparkSession, d: str) -> DataFrame:
     spec = Spec("rows", "logreg", "classification", "rich", drop=("c_custkey",))
     ready = cv.prepare(_of("rich", spark, d), spec, ("c_custkey",))
-    made = cv.Features(ready, spec, ("label", "c_custkey"))
+    made = cv.learn(ready.withColumn("_own", F.lit(0)), spec, ("label", "c_custkey"), "_own", {0: [0]})[0]
     return made.apply(ready).select("c_custkey", "label", vector_to_array("features").alias("features"))
 
 
+@query("""WITH r AS (SELECT value AS y, CAST(user_id % 50 AS DOUBLE) AS x, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events),
+f AS (SELECT *, n // 5 AS m, n - 4 * (n // 5) AS first FROM r), k AS (SELECT CAST(unnest(range(4)) AS INT) AS fold),
+fits AS (SELECT fold, avg(x) AS mx, avg(y) AS my, regr_sxy(y, x) / (regr_sxx(y, x) + 10.0 * var_pop(x)) AS slope FROM k JOIN f ON pos < first + fold * m GROUP BY fold),
+scored AS (SELECT fold, CASE WHEN pos < first + fold * m THEN 'train' ELSE 'test' END AS side, y, my + slope * (x - mx) AS p FROM fits JOIN f ON pos < first + (fold + 1) * m)
+SELECT fold, side, metric, round(CASE metric WHEN 'rmse' THEN rmse WHEN 'mae' THEN mae ELSE r2 END, 4) AS value
+FROM (SELECT fold, side, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae, 1 - sum((y - p) ** 2) / (var_pop(y) * count(*)) AS r2 FROM scored GROUP BY fold, side), (SELECT unnest(['rmse', 'mae', 'r2']) AS metric)""")
+def cv_timeseries(spark: SparkSession, d: str) -> DataFrame:
+    """Ridge on folds in time: each trains on the rows before its block only."""
+    e = table(spark, d, "events").select("event_id", "ts", "value", (F.col("user_id") % 50).cast("double").alias("x"))
+    folded = split.assign_folds(e, 4, ["event_id"], time_col="ts")
+    scores = cv.cross_validate(folded, Spec("ridge", "ridge", "regression", "value", {"alpha": 10.0}, drop=("event_id", "ts")), in_time=True)
+    return scores.select("fold", "side", "metric", F.round("value", 4).alias("value"))
+
+
 def _spec(model: str = "logreg") -> Spec:
     return Spec(model, model, "classification", "rich", SMALLER[model], drop=("c_custkey",))
 
@@ -131,5 +145,5 @@ def smoke_round(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def compare_models(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: which customers are rich, from split to recommendation."""
-    found = compare.compare_models(_of("rich", spark, d), "rich", KEYS, specs=compare.small_portfolio, folds=2, confirm_folds=2, confirm_repeats=2, n_boot=50)
+    found = compare.compare_models(_of("rich", spark, d), "rich", KEYS, specs=compare.small_portfolio, folds=2, confirm_folds=2, confirm_repeats=2)
     return found.finalists.drop("error")

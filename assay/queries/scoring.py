@@ -13,6 +13,7 @@ from assay.functions.portable import uniform
 from assay.functions.student import t_sf as t_sf_column
 from assay.operators import cv, metrics, select, stats
 from assay.queries import query, table, uniform_sql
+from assay.session import cut
 
 MODELS = {"flat": (150000.0, 0.0, 0.0), "close": (0.0, 0.9, 20000.0), "near": (0.0, 0.9, 21000.0), "loose": (0.0, 0.8, 60000.0)}
 
@@ -84,7 +85,7 @@ def _fold_errors(spark: SparkSession, d: str) -> DataFrame:
     totals = sums.groupBy("candidate", "repeat").agg(F.sum("e").alias("te"), F.sum("n").alias("tn"))
     both = sums.join(totals, ["candidate", "repeat"])
     sides = F.array(F.struct(F.lit("test").alias("side"), F.sqrt(F.col("e") / F.col("n")).alias("value")), F.struct(F.lit("train").alias("side"), F.sqrt((F.col("te") - F.col("e")) / (F.col("tn") - F.col("n"))).alias("value")))
-    return both.select("candidate", "repeat", F.col("own").alias("fold"), F.inline(sides)).withColumn("metric", F.lit("rmse"))
+    return cut(both.select("candidate", "repeat", F.col("own").alias("fold"), F.inline(sides)).withColumn("metric", F.lit("rmse")))  # a few rows, used several times
 
 
 FOLDS = f"""{REGRESSION}, placed AS (SELECT preds.*, repeat, CAST(floor({uniform_sql("'r' || repeat", _O)} * 5) AS INT) AS fold FROM preds, (SELECT unnest([0, 1]) AS repeat)),
@@ -195,29 +196,23 @@ def tie_group(spark: SparkSession, d: str) -> DataFrame:
 REPS = 20
 
 
-def _small(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions for the orders of one status."""
-    return regression(spark, d).join(table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey")
-
-
-SMALL = f"{REGRESSION}, small AS (SELECT preds.* FROM preds JOIN orders USING (o_orderkey) WHERE o_orderstatus = 'P')"
-EXACT = f"""{SMALL}, ranked AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat_ws('|', '0', {_O})), o_orderkey) AS r FROM (SELECT DISTINCT o_orderkey FROM small)),
+EXACT = f"""{REGRESSION}, ranked AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat_ws('|', '0', {_O})), o_orderkey) AS r FROM (SELECT DISTINCT o_orderkey FROM preds)),
 size AS (SELECT count(*) AS n FROM ranked),
 draws AS (SELECT rep, CAST(floor({uniform_sql("'0'", "CAST(rep AS VARCHAR)", "CAST(slot AS VARCHAR)")} * n) + 1 AS BIGINT) AS r FROM size, (SELECT unnest(range(5)) AS rep), (SELECT unnest(range((SELECT n FROM size))) AS slot)),
-reps AS (SELECT rep, model, sqrt(avg((label - score) ** 2)) AS value FROM draws JOIN ranked USING (r) JOIN small USING (o_orderkey) GROUP BY ALL)"""
+reps AS (SELECT rep, model, sqrt(avg((label - score) ** 2)) AS value FROM draws JOIN ranked USING (r) JOIN preds USING (o_orderkey) GROUP BY ALL)"""
 _BOUNDS = []
 _total, _term = 0.0, 0.36787944117144233
 for _k in range(12):
     _total += _term
     _BOUNDS.append(_total)
     _term /= _k + 1
-POISSON = f"""{REGRESSION}, weighted AS (SELECT rep, model, label, score, {" + ".join(f"CAST(u >= CAST({b!r} AS DOUBLE) AS INT)" for b in _BOUNDS)} AS w FROM (SELECT rep, preds.*, {uniform_sql("'0'", "CAST(rep AS VARCHAR)", _O)} AS u FROM preds, (SELECT unnest(range({REPS})) AS rep))),
+POISSON = f"""{REGRESSION}, weighted AS (SELECT rep, model, label, score, {" + ".join(f"CAST(u >= CAST({b!r} AS DOUBLE) AS INT)" for b in _BOUNDS)} AS w FROM (SELECT rep, preds.*, {uniform_sql("'0'", "CAST(rep // 4 AS VARCHAR)", _O).replace(", 1, 8)", ", CAST(1 + 8 * (rep % 4) AS INT), 8)")} AS u FROM preds, (SELECT unnest(range({REPS})) AS rep))),
 reps AS (SELECT rep, model, sqrt(sum(w * (label - score) ** 2) / sum(w)) AS value FROM weighted WHERE w > 0 GROUP BY ALL)"""
 
 
 @query(f"WITH {EXACT} SELECT rep, model, round(value, 4) AS value FROM reps")
 def bootstrap_exact(spark: SparkSession, d: str) -> DataFrame:
-    drawn = stats.resample_exact(_small(spark, d), ["o_orderkey"], 5)
+    drawn = stats.resample_exact(regression(spark, d), ["o_orderkey"], 5)
     return metrics.score(drawn, "rmse", ("rep", "model"), "weight").select(F.col("rep").cast("long").alias("rep"), "model", F.round("value", 4).alias("value"))
 
 
@@ -234,7 +229,7 @@ intervals AS (SELECT model, value AS score, ci_lo, ci_hi, value - (SELECT value
 
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
-    return stats.bootstrap(regression(spark, d), "rmse", "close", ["o_orderkey"], REPS)
+    return cut(stats.bootstrap(regression(spark, d), "rmse", "close", ["o_orderkey"], REPS))  # a row for each model
 
 
 @query(f"WITH {INTERVALS} SELECT model, round(score, 3) AS score, round(ci_lo, 3) AS ci_lo, round(ci_hi, 3) AS ci_hi FROM intervals")

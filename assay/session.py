@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_folders: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -29,4 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="shared-")
+    return _folders.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="shared-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written as a table to the shared folder and read from there, so that later plans begin at it.
+
+    What is read as one partition is known to be one, so that small tables are not shuffled.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    return out.coalesce(1) if out.rdd.getNumPartitions() == 1 else out

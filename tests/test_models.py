@@ -58,7 +58,7 @@ def test_cross_validation_of_churn(spark):
 def test_fold_statistics_do_not_see_test_rows(spark):
     df = houses(spark).withColumn("fold", (F.col("id") % 3).cast("int")).withColumn("repeat", F.lit(0))
     lied = df.withColumn("lot_size", F.when(F.col("fold") == 1, F.col("lot_size") * 1000).otherwise(F.col("lot_size"))).withColumn("neighborhood", F.when(F.col("fold") == 1, "elsewhere").otherwise(F.col("neighborhood")))
-    for make in (lambda d: features.numeric_stats(d, ["lot_size", "sqft"], "fold", [0, 1, 2]), lambda d: features.category_counts(d, ["neighborhood"], "fold")):
+    for make in (lambda d: features.numeric_stats(d, ["lot_size", "sqft"], "fold"), lambda d: features.category_counts(d, ["neighborhood"], "fold")):
         a, b = (sorted(map(repr, make(d).where("fold = 1").collect())) for d in (df, lied))
         assert a == b
 
@@ -76,7 +76,7 @@ def test_categories(spark):
 def test_ordinal_features_and_unseen_values(spark):
     train = spark.createDataFrame([("b", 1.0), ("a", 0.0), ("c", 1.0), (None, 1.0)], "c string, label double")
     spec = Spec("o", "random_forest", "classification", "y", prep=Prep(categorical="ordinal"))
-    made = cv.Features(train, spec, ("label",))
+    made = cv.learn(train.withColumn("part", F.lit(0)), spec, ("label",), "part", {0: [0]})[0]
     new = spark.createDataFrame([("c", 0.0), ("zz", 0.0), (None, 0.0)], "c string, label double")
     assert sorted(r["features"][0] for r in made.apply(new).collect()) == [-1.0, 0.0, 2.0]
 
@@ -111,3 +111,27 @@ def test_save_and_load(spark, tmp_path):
     top = cv.fit_final(df, spec, str(tmp_path)).collect()
     model, record = cv.load_final(spark, str(tmp_path))
     assert top[0]["name"] == "sqft__num" and record["params"] == {} and len(model.stages[0].coefficients) == len(record["features"]) == 6
+
+
+def test_folds_in_time_train_on_the_past_only(spark):
+    df = spark.range(103).select("id", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(cast(id as int))").alias("t"), F.col("id").cast("double").alias("x"), (2.0 * F.col("id")).alias("y"))
+    spec = Spec("r", "ridge", "regression", "y", drop=("id", "t"))
+    folds = cv.Folds(split.assign_folds(df, 4, ["id"], time_col="t"), spec, in_time=True)
+    for i, (_, f) in folds.places.items():
+        train = folds.ready.where(F.col("_own").isin(folds.trains[i])).agg(F.max("x"), F.count("*")).first()
+        test = folds.ready.where(F.col("_own") == i).agg(F.min("x"), F.count("*")).first()
+        assert train[0] < test[0] and train[1] == 23 + 20 * f == folds.facts[i].n and test[1] == 20
+        assert {x["mean"] for x in folds.features(spec)[i].numbers.values()} == {(22 + 20 * f) / 2}
+    assert "pos" not in folds.ready.columns
+
+
+def test_later_rounds_see_earlier_results(spark):
+    def second(results, task, target, drop):
+        best = results.where("ok").orderBy("mean").first()
+        return [Spec(best["candidate"], "ridge", task, target, {"alpha": 30.0}, drop=drop)]
+
+    first = lambda task, target, drop: [Spec("r", "ridge", task, target, drop=drop), Spec("bad", "mlp", task, target, drop=drop)]
+    found = compare.compare_models(houses(spark).limit(400), "SalePrice", ["id"], specs=first, later=[second], folds=2, confirm_repeats=1, n_boot=20)
+    rows = {r["candidate"]: r for r in found.results.collect()}
+    assert set(rows) == {"r", "bad", "r_r2"} and not rows["bad"]["ok"] and rows["r_r2"]["ok"]
+    assert found.recommended in ("r", "r_r2") and [r["kind"] for r in found.events.orderBy("ts").collect()].count("round_start") == 2
