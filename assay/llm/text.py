@@ -141,6 +141,17 @@ def distinct(codes: np.ndarray, bits: int = 20) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([table[used], rest]), of
 
 
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place where each is, and which of them each value is; by one sort."""
+    order = np.argsort(values)
+    there = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = there[1:] != there[:-1]
+    of = np.empty(len(values), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return there[new], order[new], of
+
+
 def prefix_hashes(data: np.ndarray, word: np.ndarray) -> np.ndarray:
     """For each byte, a 64-bit hash of the bytes of its word before it; a byte that ends a word has that of the whole word."""
     out = np.empty(len(data), np.uint64)

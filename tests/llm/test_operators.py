@@ -320,7 +320,7 @@ def test_filter_has_a_bound():
 
 def test_lm_score(spark):
     rows = documents()
-    got = lm_score.score(frame(spark, rows), chunk_bytes=20000, slice_words=50)
+    got = lm_score.score(frame(spark, rows), chunk_bytes=20000, slice_bytes=50000)
     counts = Counter()
     tokens = lambda t: [*SPACED.findall(lower(t)), None]
     out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
@@ -335,13 +335,64 @@ def test_lm_score(spark):
     assert lm_score.score(frame(spark, [])).count() == 0
 
 
-def test_lm_is_a_distribution(spark):
-    model = lm_score.fit(frame(spark))
-    context = int.from_bytes(b"the ", "big")
-    code = (np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-    assert abs((10 ** model.log10(code, np.full(256, text.prefix_hashes(np.frombuffer(b"x ", np.uint8), text.SPACED)[0]))).sum() - 1) < 1e-6
-    told = lambda t: sum(model.log10(*lm_score.contexts([t.encode()])[:2]))
-    assert told(prose(77, 50)) > told("".join(reversed(prose(77, 50))))
+def lm_tokens(t, planes):
+    """(bytes, class) of each token: a run without white space and the byte that ends it."""
+    raw, out, begin = lower(t).encode() + b"\n", [], 0
+    for k, b in enumerate(raw):
+        if b in b" \t\n\v\f\r":
+            sides = [sum(int(w[s]) for s in lm_score.pair_slots(np.frombuffer(raw[:begin], np.uint8))) for w in planes.weights]
+            kind = lm_score.NO_CLASS if not begin else sum((v > 0) << i for i, v in enumerate(sides))
+            out.append((raw[begin:k] + (b"\0" if k == len(raw) - 1 else raw[k : k + 1]), kind))
+            begin = k + 1
+    return out
+
+
+def lm_contexts(token, kind):
+    for k in range(len(token)):
+        before = token[:k]
+        padded = before[::-1] + b"\0" * 5
+        yield token[k], [((p, padded[:n] if n else before), kind if c else None) for p, (n, c) in enumerate(lm_score.SEEN)]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 700, "slice_bytes": 900, "rounds": 1}])
+def test_lm_score_equals_a_plain_model(spark, sizes):
+    rows = [(i, t) for i, t in documents() if len(t or "") < 900] + [(90, "a\0b  c\n\nThe THE the"), (91, prose(2, 60).replace(" ", "\t"))]
+    c = lm_score.read(frame(spark, rows), **sizes)
+    seen = defaultdict(Counter)
+    for i, t in rows:
+        if not lm_score.held_out(i, 7, 2):
+            for token, kind in lm_tokens(t, c.planes):
+                for b, found in lm_contexts(token, kind):
+                    for x in found:
+                        seen[x][b] += 1
+
+    def log10(t):
+        total = 0.0
+        for token, kind in lm_tokens(t, c.planes):
+            for b, found in lm_contexts(token, kind):
+                for bit in range(8):
+                    n = [[sum(m for y, m in seen[x].items() if y >> (8 - bit) == b >> (8 - bit) and y >> (7 - bit) & 1 == one) for one in (0, 1)] for x in found]
+                    odds = [math.log((ones + 0.05) / (zeros + 0.05)) for zeros, ones in n]
+                    level = [sum(sum(n[p]) >= v for v in (1, 2, 4, 12, 100)) for p in (5, 3, 2)]
+                    gate = ((bit * 6 + level[0]) * 6 + level[1]) * 6 + level[2]
+                    stretch = max(-12.0, min(12.0, sum(o * w for o, w in zip(odds, c.mixer.weights[gate]))))
+                    x = (stretch + 12) * 32 / 24
+                    lo, earlier = min(int(x), 31), (b | 256) >> (8 - bit)
+                    table = c.mixer.refine[lo, earlier] * (1 - x + lo) + c.mixer.refine[lo + 1, earlier] * (x - lo)
+                    one = min(max((1 / (1 + math.exp(-stretch)) + table) / 2, 1e-6), 1 - 1e-6)
+                    total += math.log10(one if b >> (7 - bit) & 1 else 1 - one)
+        return total
+
+    wanted = sorted(((i, round(log10(t), 2)) for i, t in rows), key=key)
+    got = sorted(((r["doc_id"], round(r["score"], 2)) for r in lm_score.score(frame(spark, rows), **sizes).collect()), key=key)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 0.02 for a, b in zip(got, wanted)) and len(got) == len(wanted)
+
+
+def test_lm_is_better_than_words_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    size = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("n"))
+    r = lm_score.score(docs).where("held_out").join(size, "doc_id").agg(*[(-F.sum(c) * math.log2(10) / F.sum("n")).alias(c) for c in ("score", "base_score")]).first()
+    assert r["score"] < 0.99 * r["base_score"], r
 
 
 # --- 9
