@@ -2,7 +2,7 @@
 
 A text is read token by token: a run of bytes that are no white space (it may be empty), and the
 white space byte or the text's end after it. The model predicts each bit of a token's next byte from
-six predictors, whose hashed contexts are the last 1, 2, 3 or 5 bytes of the token or all of it so
+five predictors, whose hashed contexts are the last 1, 2, 3 or 5 bytes of the token or all of it so
 far, most of them together with the class of the text so far; each is a pair of counts of the bits 0
 and 1 seen there with the byte's earlier bits. A logistic mixer adds the predictors' log odds with
 weights chosen by a gate (the bit, and how often three of the contexts were seen), learned online; a
@@ -36,7 +36,7 @@ from assay.llm.shared import cut
 PAIRS, PLANES = 512, 3
 NO_CLASS = 1 << PLANES
 #: Bytes of the token that each predictor sees (0: all so far), and whether it sees the class.
-SEEN = ((1, True), (2, True), (3, True), (5, False), (0, False), (0, True))
+SEEN = ((1, True), (2, True), (3, True), (5, False), (0, True))
 PREDICTORS = len(SEEN)
 LEVELS = 6
 GATES = 8 * LEVELS**3
@@ -208,7 +208,7 @@ class Nodes:
         byte = data[at].astype(np.uint64)
         byte[self.from_ + size - 1] = (variants & 0xFF).astype(np.uint64)
         salt = (kind + np.uint64(1)) * _M2
-        key = text.mix(before[at] ^ salt) & ~_BYTE | byte
+        key = (text.mix(before[at] ^ salt) & ~_BYTE | byte)
         nodes, head, self.of = text.grouped(key)
         self.weight = np.bincount(self.of, np.repeat(counts, size), len(nodes))
         at, salt, self.byte, depth, before = at[head], salt[head], byte[head], depth[head], before[at[head]]
@@ -233,6 +233,8 @@ def _nodes(words: dict) -> Nodes:
 
 _CONTEXT = "slice int, asker int, keys binary, counts binary"
 _CONTEXT_SCHEMA = pa.schema([("slice", pa.int32()), ("asker", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ADDED = "slice int, asker int, counts binary, place binary, byte binary, extra binary"
+_ADDED_SCHEMA = pa.schema([("slice", pa.int32()), ("asker", pa.int32()), *[(n, pa.binary()) for n in ("counts", "place", "byte", "extra")]])
 
 
 def _contexts(slices: int):
@@ -240,28 +242,33 @@ def _contexts(slices: int):
         for batch in batches:
             for words in batch.to_pylist():
                 nodes = _nodes(words)
-                keys = np.concatenate(nodes.entries)
-                counts = np.concatenate([np.bincount(e, nodes.weight, len(k)) for e, k in zip(nodes.entry, nodes.entries)]).astype(np.int64)
-                order = np.argsort(keys)
-                keys, counts = keys[order], counts[order]
+                keys, _, of = text.grouped(np.concatenate(nodes.entries))
+                counts = np.concatenate([np.bincount(e, nodes.weight, len(k)) for e, k in zip(nodes.entry, nodes.entries)])
+                counts = np.bincount(of, counts, len(keys)).astype(np.int64)
                 yield _batch([(s, words["slice"], route.pack_sorted(keys[a:b]), route.pack(counts[a:b])) for s, a, b in route.cuts(route.slice_of(keys, slices))], _CONTEXT_SCHEMA)
 
     return run
 
 
 def _added(table: pa.Table) -> pa.Table:
-    """For each asker the counts, over all askers, of all bytes in the contexts that it met; slice and asker change places."""
+    """For each asker the counts, over all askers, of what it asked for, and of all other bytes in the same contexts.
+
+    The latter come with the place of one of the asked keys of their context. Slice and asker change places.
+    """
     asked = [route.unpack_sorted(x.as_py()) for x in table.column("keys")]
     keys, _, back = text.grouped(np.concatenate(asked))
     counts = np.bincount(back, np.concatenate([route.unpack(x.as_py(), np.int64) for x in table.column("counts")]), len(keys)).astype(np.int64)
     context = np.cumsum(np.concatenate([[0], keys[1:] >> np.uint64(8) != keys[:-1] >> np.uint64(8)])) if len(keys) else np.zeros(0, np.int64)
     rows, at = [], np.cumsum([0, *[len(x) for x in asked]])
     for k, asker in enumerate(table.column("asker").to_pylist()):
-        met = np.zeros(len(keys) + 1, bool)
-        met[context[back[at[k] : at[k + 1]]]] = True
-        mine = met[context]
-        rows.append((asker, table.column("slice")[0].as_py(), route.pack_sorted(keys[mine]), route.pack(counts[mine])))
-    return _table(rows, _CONTEXT_SCHEMA)
+        own = back[at[k] : at[k + 1]]  # in order, as the asked keys are
+        place = np.full(int(context[-1]) + 1 if len(context) else 1, -1)
+        place[context[own]] = np.arange(len(own))
+        other = place[context] >= 0
+        other[own] = False
+        other = np.flatnonzero(other & (counts > 0))
+        rows.append((asker, table.column("slice")[0].as_py(), route.pack(counts[own]), route.pack(place[context[other]]), route.pack((keys[other] & _BYTE).astype(np.uint8)), route.pack(counts[other])))
+    return _table(rows, _ADDED_SCHEMA)
 
 
 # --- predictors and mixer
@@ -319,7 +326,7 @@ class Predictions:
         """Log odds by predictor, gates, bits seen and the byte's earlier bits, of some nodes."""
         place = [p[at] for p in self.place]
         odds = np.array([self._odds[bit][p] for p in place])
-        level = [self._levels[bit][place[p]].astype(np.int64) for p in (5, 3, 2)]
+        level = [self._levels[bit][place[p]].astype(np.int64) for p in (4, 3, 2)]
         byte = self.nodes.byte[at].astype(np.int64)
         return odds, ((bit * LEVELS + level[0]) * LEVELS + level[1]) * LEVELS + level[2], byte >> (7 - bit) & 1, (byte | 0x100) >> (8 - bit)
 
@@ -358,9 +365,17 @@ class Predictions:
 
 
 def _predictions(words: pa.Table, contexts: pa.Table, apart: bool) -> Predictions:
-    got = sorted((r["asker"], r["keys"], r["counts"]) for r in contexts.select(["asker", "keys", "counts"]).to_pylist())
-    keys, counts = np.concatenate([route.unpack_sorted(k) for _, k, _ in got]), np.concatenate([route.unpack(c, np.int64) for _, _, c in got])
-    return Predictions(_nodes(words.to_pylist()[0]), keys, counts, apart)
+    nodes = _nodes(words.to_pylist()[0])
+    keys, counts, base = text.grouped(np.concatenate(nodes.entries))[0], [], 0
+    more, extra = [], []
+    for r in sorted(contexts.to_pylist(), key=lambda r: r["asker"]):  # slices are in the order of keys
+        counts.append(route.unpack(r["counts"], np.int64))
+        more.append(keys[base + route.unpack(r["place"], np.int64)] & ~_BYTE | route.unpack(r["byte"], np.uint8))
+        extra.append(route.unpack(r["extra"], np.int64))
+        base += len(counts[-1])
+    keys, counts = np.concatenate([keys, *more]), np.concatenate([*counts, *extra])
+    order = np.argsort(keys)
+    return Predictions(nodes, keys[order], counts[order], apart)
 
 
 def _taught(shared, rate: float):
@@ -447,7 +462,7 @@ class Corpus:
     n_ends: int
 
 
-def read(docs: DataFrame, modulus: int = 7, remainder: int = 2, chunk_bytes: int = 8 << 20, slice_bytes: int = 32 << 20, rounds: int = 2, rate: float = 0.03, id_col: str = "doc_id", text_col: str = "text") -> Corpus:
+def read(docs: DataFrame, modulus: int = 7, remainder: int = 2, chunk_bytes: int = 8 << 20, slice_bytes: int = 16 << 20, rounds: int = 1, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> Corpus:
     """Counts and mixer of the texts whose CRC-32 of doc_id isn't `remainder` modulo `modulus`; the others' tokens are only listed.
 
     slice_bytes: text for each slice of the words and of the contexts. In each of the rounds the
@@ -458,7 +473,7 @@ def read(docs: DataFrame, modulus: int = 7, remainder: int = 2, chunk_bytes: int
     planes = fit_planes(rows, modulus, remainder)
     asked = cut(rows.mapInArrow(_chunks(slices, modulus, remainder, planes, chunk_bytes), _ASK))
     words = cut(asked.where("slice >= 0").groupBy("slice").applyInArrow(_vocabulary, _VOCABULARY))
-    contexts = cut(words.repartition(slices, "slice").mapInArrow(_contexts(slices), _CONTEXT).groupBy("slice").applyInArrow(_added, _CONTEXT))
+    contexts = cut(words.repartition(slices, "slice").mapInArrow(_contexts(slices), _CONTEXT).groupBy("slice").applyInArrow(_added, _ADDED))
     mixer = Mixer.fresh()
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(mixer)

@@ -373,7 +373,7 @@ def test_lm_score_equals_a_plain_model(spark, sizes):
                 for bit in range(8):
                     n = [[sum(m for y, m in seen[x].items() if y >> (8 - bit) == b >> (8 - bit) and y >> (7 - bit) & 1 == one) for one in (0, 1)] for x in found]
                     odds = [math.log((ones + 0.05) / (zeros + 0.05)) for zeros, ones in n]
-                    level = [sum(sum(n[p]) >= v for v in (1, 2, 4, 12, 100)) for p in (5, 3, 2)]
+                    level = [sum(sum(n[p]) >= v for v in (1, 2, 4, 12, 100)) for p in (4, 3, 2)]
                     gate = ((bit * 6 + level[0]) * 6 + level[1]) * 6 + level[2]
                     stretch = max(-12.0, min(12.0, sum(o * w for o, w in zip(odds, c.mixer.weights[gate]))))
                     x = (stretch + 12) * 32 / 24
