@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from assay.llm import decontaminate, exact_dedup, language_id, lm_score, packing, quality, secret_scan, simhash, substring_dedup, url_filter
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: The given tables have no block list: the canonical URLs seen on these hosts are the query's.
+#: The given tables have no block list: the canonical URLs of pages on these hosts, and of pages with
+#: such marks in their titles, are the query's. Other pages are blocked if their URL is one of them.
+BAD_TITLE = r"<title>[^<]*(%%%|[*]{3}|###)"
 BLOCKED_HOSTS = r"(^|\.)(casino-win|free-bets|spam-farm)\.example\.(com|net|org)$"
 
 
@@ -22,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     host, path = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
-    seen = pages.where(host.rlike(BLOCKED_HOSTS)).select(url_filter.canonical(host, path).alias("key"), F.lit("block").alias("verdict"))
+    seen = pages.where(host.rlike(BLOCKED_HOSTS) | ((host != "") & F.col("html").rlike(BAD_TITLE))).select(url_filter.canonical(host, path).alias("key"), F.lit("block").alias("verdict"))
     listed = spark.createDataFrame(list(RULES), "key string, verdict string").unionByName(seen)
     return url_filter.judge(pages, listed)
 
@@ -78,12 +80,12 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 ORACLE_SQL = {
     "op1_url_filter": f"""
 WITH parts AS (
-  SELECT page_id, url,
+  SELECT page_id, url, html,
     CASE WHEN contains(url, '://') THEN {_LOWER.format("regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*')")} ELSE '' END AS host,
     CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM pages),
 keyed AS (SELECT *, regexp_replace(host, '^(?:www|m)\\.', '') || regexp_replace(regexp_replace(path, '\\.html$', ''), '/+$', '') AS canon FROM parts),
-listed AS (SELECT DISTINCT canon FROM keyed WHERE regexp_matches(host, '(^|\\.)(casino-win|free-bets|spam-farm)\\.example\\.(com|net|org)$')),
+listed AS (SELECT DISTINCT canon FROM keyed WHERE regexp_matches(host, '(^|\\.)(casino-win|free-bets|spam-farm)\\.example\\.(com|net|org)$') OR (host <> '' AND regexp_matches(html, '<title>[^<]*(%%%|[*]{{3}}|###)'))),
 rules(h, p, v) AS (VALUES {", ".join(f"('{k.partition('/')[0]}', '/{k.partition('/')[2]}', '{v}')" for k, v in RULES)}),
 best AS (
   SELECT k.page_id, max(struct_pack(n := length(h || p), r := h || p, v := v)) AS b

@@ -86,7 +86,7 @@ def test_url_rules(spark):
         spam = re.sub(r"^(www|m)\.", "", h) + re.sub("/+$", "", re.sub(r"\.html$", "", p)) == "spam.net/a"
         wanted.append((i, h, p, r[1] if r else None, r[2] if r else "block" if spam else "allow", "spam.net/a" if spam else None))
     same([tuple(r) for r in url_filter.judge(pages, listed).collect()], wanted)
-    same([tuple(r) for r in url_filter.judge(pages, listed, short_list=0).collect()], wanted)
+    same([tuple(r) for r in url_filter.judge(pages, listed, max_blocks=1).collect()], wanted)
     assert url_filter.judge(pages.limit(0), listed).count() == 0
     assert {r["verdict"] for r in url_filter.judge(pages, listed.limit(0)).collect()} == {"allow"}
 
@@ -94,9 +94,16 @@ def test_url_rules(spark):
 def test_a_full_filter_changes_nothing(spark):
     listed = spark.createDataFrame([(f"=h{i}.net/p", "block") for i in range(500)], "key string, verdict string")
     pages = spark.range(1000).selectExpr("id AS page_id", "concat('http://h', id, '.net/p') AS url")
-    small, _ = url_filter.filter_blocks(listed, 500, max_blocks=1)
-    assert small.count() == 1
-    assert url_filter.judge(pages, listed).where("verdict = 'block'").count() == 500
+    assert len(url_filter.filter_blocks(listed, 500, max_blocks=1)) == url_filter.WORDS
+    for blocks in (1, 1 << 14):
+        assert url_filter.judge(pages, listed, max_blocks=blocks).where("verdict = 'block'").count() == 500
+
+
+def test_a_long_list_with_one_hot_url(spark):
+    listed = spark.range(200_000).selectExpr("concat('=h', id, '.net/p') AS key", "'block' AS verdict")
+    pages = spark.range(6000).selectExpr("id AS page_id", "if(id % 3 = 0, 'http://h7.net/p', concat('http://h', id, '.org/p')) AS url")
+    got = url_filter.judge(pages, listed).groupBy("verdict").count().collect()
+    assert {r["verdict"]: r["count"] for r in got} == {"block": 2000, "allow": 4000}
 
 
 # --- 2
