@@ -3,12 +3,15 @@
 A shard is a few megabytes of documents. Its suffix array orders every word position by the words
 that follow, to a depth of a window at least and within its document. All windows of the benchmark
 are binary-searched in each shard; the interval found lists the places where the window occurs
-verbatim. Nothing is shuffled: the benchmark goes to the shards, in blocks of bounded size.
+verbatim. Nothing is shuffled: the benchmark goes to the shards in groups of blocks, whose size is
+bounded; a shard's array is built once for all blocks of a group, and a larger benchmark takes more
+passes over the documents, never more memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm import text
+from assay.llm.shared import cut
 
 
 class SuffixArray:
@@ -94,10 +98,11 @@ class Block:
         self.starts, self.lengths = place[head], lengths[head]
         item = np.searchsorted(first, place, "right") - 1
         order = np.lexsort((place, self.window))
-        #: for each distinct window, the items it is in and where there
-        self.window, self.item, self.within = self.window[order], item[order], (place - first[item])[order]
+        #: for each distinct window, the items it is in, each once
+        pairs = np.unique(np.stack([self.window[order], item[order]], axis=1), axis=0) if len(order) else np.zeros((0, 2), np.int64)
+        self.window, self.item = pairs[:, 0], pairs[:, 1]
         self.from_ = np.searchsorted(self.window, np.arange(len(head) + 1))
-        self.ids = ids
+        self.ids, self.first = ids, first
 
 
 def _spread(from_: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,42 +112,69 @@ def _spread(from_: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + from_[of], of
 
 
-def find(texts: list[bytes], block: Block) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[tuple]]]:
+def _runs(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each run of `length` words."""
+    n = len(words)
+    power, inverse = text.powers(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n])])
+    return text.mix((total[length:] - total[: n - length + 1]) * inverse[: n - length + 1])
+
+
+def longest(doc: np.ndarray, item: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """(word of the item, word of the document, words) of the longest run that both have, `least` words or more; the first of equals."""
+    lo, hi, best = least, min(len(doc), len(item)), None
+    while lo <= hi:  # two texts that share a run share all shorter ones
+        length = (lo + hi) // 2
+        a, b = _runs(doc, length), _runs(item, length)
+        order = np.argsort(b, kind="stable")
+        at = np.minimum(np.searchsorted(b[order], a), len(b) - 1)
+        there = np.flatnonzero(b[order][at] == a)
+        place = (int(order[at[there[0]]]), int(there[0])) if len(there) else None
+        if place and np.array_equal(item[place[0] : place[0] + length], doc[place[1] : place[1] + length]):
+            best, lo = (*place, length), length + 1
+        else:
+            hi = length - 1
+    return best
+
+
+def find(texts: list[bytes], blocks: list[Block]) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[tuple]]]:
     """For some documents: first word of each (and the end), words hit, items with a hit, longest verbatim matches.
 
-    A match is (item_id, word in the item, word in the document, words).
+    A match is (item_id, word in the item, word in the document, words), one for each item with a hit.
     """
     data, at = text.joined([t.lower() for t in texts])
     starts, ends = text.spans(data, text.ALNUM)
     words, first = text.word_hashes(data, starts, ends), np.searchsorted(starts, at)
     hit, items, matches = np.zeros(len(words), bool), [[] for _ in texts], [[] for _ in texts]
-    if not len(words) or not len(block.starts):
+    blocks = [b for b in blocks if len(b.starts)]
+    if not len(words) or not blocks:
         return first, hit, items, matches
-    shard = SuffixArray(words, first, block.width)
-    known = shard.ranks(block.words)
-    column = np.arange(block.width)
-    rows = known[np.minimum(block.starts[:, None] + column, len(known) - 1)]
-    whole = np.flatnonzero(((rows > 0) | (column >= block.lengths[:, None])).all(axis=1))
-    if not len(whole):
-        return first, hit, items, matches
-    lo, hi = shard.search(rows[whole], block.lengths[whole])
-    place, of = _spread(lo, hi)
-    place, window = shard.order[place], whole[of]
-    hit = text.covered(place, block.lengths[window], len(words))
-    # places by document, then a row for each item that has the window; runs along a diagonal are one match
-    entry, of = _spread(block.from_[window], block.from_[window + 1])
-    place, item, within, n = place[of], block.item[entry], block.within[entry], block.lengths[window][of]
-    doc = np.searchsorted(first, place, "right") - 1
-    order = np.lexsort((place, place - within, item, doc))
-    doc, place, item, within, n = doc[order], place[order], item[order], within[order], n[order]
-    if len(doc):
-        head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1] + 1) | (within[1:] != within[:-1] + 1)]))
-        last = np.concatenate([head[1:], [len(doc)]]) - 1
-        for d, i, w, p, e in zip(doc[head].tolist(), item[head].tolist(), within[head].tolist(), place[head].tolist(), (place[last] + n[last]).tolist()):
-            name = block.ids[i]
-            if not items[d] or items[d][-1] != name:
-                items[d].append(name)
-            matches[d].append((name, w, p - int(first[d]), e - p))
+    shard = SuffixArray(words, first, blocks[0].width)
+    for block in blocks:
+        known, column = shard.ranks(block.words), np.arange(block.width)
+        rows = known[np.minimum(block.starts[:, None] + column, len(known) - 1)]
+        whole = np.flatnonzero(((rows > 0) | (column >= block.lengths[:, None])).all(axis=1))
+        if not len(whole):
+            continue
+        lo, hi = shard.search(rows[whole], block.lengths[whole])
+        # a word starts one occurrence at most for each length of windows
+        place, of = _spread(lo, hi)
+        place, window = shard.order[place], whole[of]
+        here = text.covered(place, block.lengths[window], len(words))
+        hit |= here
+        doc = np.searchsorted(first, place, "right") - 1
+        met = np.unique(doc * len(block.starts) + window)
+        doc, window = met // len(block.starts), met % len(block.starts)
+        entry, of = _spread(block.from_[window], block.from_[window + 1])
+        pairs = np.unique(doc[of] * len(block.ids) + block.item[entry])
+        for d, i in zip((pairs // len(block.ids)).tolist(), (pairs % len(block.ids)).tolist()):
+            item = block.words[block.first[i] : block.first[i + 1]]
+            own = np.flatnonzero(here[first[d] : first[d + 1]])
+            a, b = int(own[0]), int(own[-1]) + 1
+            items[d].append(block.ids[i])
+            found = longest(words[first[d] + a : first[d] + b], item, min(block.width, len(item)))
+            if found:
+                matches[d].append((block.ids[i], found[0], found[1] + a, found[2]))
     return first, hit, items, matches
 
 
@@ -171,12 +203,12 @@ _DDL = "doc_id long, n_words long, n_hit long, hits binary, items array<string>,
 
 def _searched(shared, keep: bool, again: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value if shared is not None else Block([], [], 1)
+        group = shared.value if shared is not None else []
         schema = pa.schema(_FIELDS + [("text", pa.large_string())] * keep)
         for batch in batches:
             for part in text.pieces(batch, "text"):
                 texts = text.as_bytes(part.column("text"))
-                first, hit, items, matches = find(texts, block)
+                first, hit, items, matches = find(texts, group)
                 bits = [np.packbits(hit[a:b]).tobytes() if hit[a:b].any() else b"" for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 if again:
                     old = part.select(["hits", "items", "matches"]).to_pydict()
@@ -194,22 +226,28 @@ def _either(a: bytes, b: bytes) -> bytes:
     return (np.frombuffer(a, np.uint8) | np.frombuffer(b, np.uint8)).tobytes() if a and b else a or b
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 13, one_in: int = 20, block_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 13, one_in: int = 20, block_bytes: int = 1 << 20, group_blocks: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, items, matches and contaminated; a row for each row of docs.
 
     Texts are lower-cased (A-Z) and split into words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. A window
     is `width` consecutive words of an item, or all of a shorter one; a word inside an occurrence
-    of a window is hit. items: those with occurring windows; matches: the longest verbatim ones
-    that hold a window. contaminated: one word in `one_in` is hit, and one at least.
+    of a window is hit. items: those with occurring windows; matches: for each the longest run of
+    words that it has verbatim, the first of equals. contaminated: one word in `one_in` is hit, and one at least.
     Null and empty texts have no words, and items without words no windows; repeated rows and null
     ids stay as they are; other columns are not read; empty tables give no hits or no rows.
     """
     spark = docs.sparkSession
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shared = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, width, block_bytes, item_col, item_text_col)]
-    for k, b in enumerate(shared or [None]):
-        keep = k + 1 < len(shared)
-        found = found.mapInArrow(_searched(b, keep, k > 0), _DDL + ", text string" * keep)
+    listed, again = blocks(benchmark, width, block_bytes, item_col, item_text_col), False
+    group = list(islice(listed, group_blocks))
+    while True:
+        later = list(islice(listed, group_blocks))
+        shared = spark.sparkContext.broadcast(group)  # group_blocks * block_bytes of text, or the longest item
+        found = found.mapInArrow(_searched(shared, bool(later), again), _DDL + ", text string" * bool(later))
+        if not later:
+            break
+        found, group, again = cut(found), later, True
+        shared.unpersist()
     found = found.select("doc_id", "n_words", "n_hit", F.array_sort(F.array_distinct("items")).alias("items"), "matches")
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * one_in >= F.col("n_words")))
 

@@ -69,7 +69,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base of polynomial hashes, and of its inverse, n of them at least."""
     if len(_powers[0]) < n:
         n = max(n, _SEGMENT + 1)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -88,7 +89,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         base = starts[lo]
         hi = max(lo + 1, int(np.searchsorted(ends, base + _SEGMENT, "right")))
         n = int(ends[hi - 1] - base)
-        power, inverse = _grown(n + 1)
+        power, inverse = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTES[data[base : base + n]] * power[:n], out=total[1:])
         s, e = starts[lo:hi] - base, ends[lo:hi] - base
@@ -164,7 +165,7 @@ def prefix_hashes(data: np.ndarray, word: np.ndarray) -> np.ndarray:
         if hi <= lo:  # a word longer than a segment
             later = np.flatnonzero(start[lo + _SEGMENT :] > lo)
             hi = lo + _SEGMENT + int(later[0]) if len(later) else len(data)
-        power, inverse = _grown(hi - lo + 1)
+        power, inverse = powers(hi - lo + 1)
         total = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_BYTES[data[lo:hi]] * power[: hi - lo], out=total[1:])
         s = start[lo:hi] - lo
