@@ -37,7 +37,7 @@ def letter_vector(letter: int, size: int) -> np.ndarray:
     """Of +1 and -1, by the letter alone; 0 is the end of a word."""
     key = (letter, size)
     if key not in _vectors:
-        if len(_vectors) > 4096:
+        if len(_vectors) > 1 << 15:
             _vectors.clear()
         _vectors[key] = np.random.default_rng([0x1D, letter]).integers(0, 2, size, dtype=np.int8) * 2 - 1
     return _vectors[key]
@@ -65,28 +65,43 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return known, of, np.searchsorted(ends, middle, "right")
 
 
+def bundles(known: np.ndarray, of: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, size: int, block: int = 2048, owners: int = 256) -> np.ndarray:
+    """Sum of the vectors of each owner's trigrams, each `weight` times; a block of trigrams and of owners at a time, however many there are."""
+    out = np.zeros((n, size))
+    order = np.argsort(of, kind="stable")
+    edge = np.searchsorted(of[order], np.arange(0, len(known) + block, block))
+    for k, (a, b) in enumerate(zip(edge[:-1], edge[1:])):
+        codes, mine = known[k * block : (k + 1) * block], order[a:b]
+        if not len(mine):
+            continue
+        vectors = trigram_vectors(codes, size).astype(np.float64)
+        at = np.argsort(owner[mine], kind="stable")
+        mine = mine[at]
+        for lo in range(int(owner[mine[0]]) // owners * owners, int(owner[mine[-1]]) + 1, owners):
+            x, y = np.searchsorted(owner[mine], [lo, lo + owners])
+            part = mine[x:y]
+            if len(part):
+                m = min(owners, n - lo)
+                out[lo : lo + m] += np.bincount((owner[part] - lo) * len(codes) + of[part] - k * block, weight[part], m * len(codes)).reshape(m, -1) @ vectors
+    return out
+
+
 @dataclass
 class Profiles:
     languages: list[str]
     vectors: np.ndarray  # a unit row for each language
 
-    def predict(self, texts: list[str], block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's language (-1: it has no letter, or none is known) and cosine."""
         best, score = np.full(len(texts), -1), np.zeros(len(texts))
         known, of, doc = trigrams(texts)
         if not len(known) or not self.languages:
             return best, score
-        table = trigram_vectors(known, self.vectors.shape[1]).astype(np.float32)
-        wanted = table @ self.vectors.T.astype(np.float32)
-        for lo in range(0, len(texts), block):
-            n = min(block, len(texts) - lo)
-            a, b = np.searchsorted(doc, [lo, lo + n])
-            count = np.bincount((doc[a:b] - lo) * len(known) + of[a:b], minlength=n * len(known)).reshape(n, -1).astype(np.float32)
-            some = np.flatnonzero(count.any(axis=1))
-            count = count[some]
-            length = np.linalg.norm(count @ table, axis=1)
-            cosine = (count @ wanted) / np.maximum(length, 1e-30)[:, None]
-            best[lo + some], score[lo + some] = cosine.argmax(axis=1), cosine.max(axis=1)
+        own = bundles(known, of, doc, np.ones(len(of)), len(texts), self.vectors.shape[1])
+        some = np.unique(doc)
+        length = np.linalg.norm(own[some], axis=1)
+        cosine = (own[some] @ self.vectors.T) / np.maximum(length, 1e-30)[:, None]
+        best[some], score[some] = cosine.argmax(axis=1), cosine.max(axis=1)
         return best, np.clip(score, 0, 1)
 
 
@@ -113,8 +128,7 @@ def fit(docs: DataFrame, size: int = 1024, lang_col: str = "lang", text_col: str
                 names = sorted(set(langs))
                 number = np.array([names.index(x) for x in langs])
                 share = 1.0 / np.bincount(doc, minlength=len(langs))[doc]
-                weights = np.bincount(number[doc] * len(known) + of, share, len(names) * len(known)).reshape(len(names), -1)
-                for name, v in zip(names, weights @ trigram_vectors(known, size)):
+                for name, v in zip(names, bundles(known, of, number[doc], share, len(names), size)):
                     total[name] = total.get(name, 0) + np.rint(v * _SCALE).astype(np.int64)
         yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 

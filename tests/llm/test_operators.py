@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -149,13 +150,13 @@ def hits_of(doc, items, width=13):
     return len(w), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 300}, {"block_bytes": 300, "group_blocks": 1}])
+def test_decontamination(spark, sizes):
     items = [("10", prose(200, 40)), ("9", prose(105, 25)), ("8", "one"), ("7", None), ("6", ""), ("5", prose(1, 60)), ("4", prose(200, 40)), ("3", "stone river lamp")]
     bench = spark.createDataFrame(items, "item_id string, text string")
     rows = [*documents(), (70, prose(3, 300) + " " + prose(200, 14)), (71, (prose(200, 40) + " ") * 3)]
     wanted = [(i, *(h := hits_of(t, items)), h[1] > 0 and 20 * h[1] >= h[0]) for i, t in rows]
-    got = decontaminate.overlaps(frame(spark, rows), bench, block_bytes=block_bytes)
+    got = decontaminate.overlaps(frame(spark, rows), bench, **sizes)
     same([(r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in got.collect()], wanted)
     assert decontaminate.overlaps(frame(spark, []), bench).count() == 0
     assert not decontaminate.overlaps(frame(spark), bench.limit(0)).where("n_hit > 0").count()
@@ -164,8 +165,34 @@ def test_decontamination(spark, block_bytes):
 def test_matches_are_the_longest():
     a, b = prose(300, 50), prose(301, 20)
     block = decontaminate.Block(["i"], [a.encode()], 13)
-    _, _, _, matches = decontaminate.find([(b + " " + a + " " + b).encode()], block)
-    assert [m for m in matches[0] if m[3] >= 50] == [("i", 0, 20, 50)]
+    _, _, _, matches = decontaminate.find([(b + " " + a + " " + b).encode()], [block])
+    assert matches[0] == [("i", 0, 20, 50)]
+
+
+def test_longest_runs_equal_all_pairs():
+    r = np.random.default_rng(8)
+    for n in range(1, 40):
+        a, b = (r.integers(0, 3, k).astype(np.uint64) for k in (n + 5, 12))
+        runs = {(i, j, k) for k in range(2, 13) for j in range(len(a) - k + 1) for i in range(len(b) - k + 1) if np.array_equal(a[j : j + k], b[i : i + k])}
+        wanted = min(((-k, j, i) for i, j, k in runs), default=None)
+        got = decontaminate.longest(a, b, 2)
+        assert (got is None) == (wanted is None) and (got is None or (-got[2], got[1], got[0]) == wanted)
+
+
+def peak_mb(run) -> float:
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_repetitive_texts_take_bounded_memory():
+    block = decontaminate.Block(["i"], [b"a " * 10_000], 13)
+    found = []
+    assert peak_mb(lambda: found.append(decontaminate.find([b"a " * 10**6], [block]))) < 1000
+    assert found[0][1].all() and found[0][3] == [[("i", 0, 0, 10_000)]]
 
 
 def test_suffix_array_orders_suffixes():
@@ -421,6 +448,31 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs.where("lang is null")).collect()} == {"und"}
 
 
+def test_language_vectors_equal_a_plain_sum(spark):
+    size, texts = 64, ["Ab c", "", "12", "zué qña ab", "ab ab abab"]
+    vector = lambda t: np.roll(language_id.letter_vector(t[0], size), 2) * np.roll(language_id.letter_vector(t[1], size), 1) * language_id.letter_vector(t[2], size)
+    wanted = np.zeros((len(texts), size))
+    for d, t in enumerate(texts):
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            c = [0, *map(ord, w), 0]
+            wanted[d] += sum(vector(c[i : i + 3]).astype(int) for i in range(len(w)))
+    known, of, doc = language_id.trigrams(texts)
+    for block, owners in ((2048, 256), (3, 2)):
+        assert np.array_equal(language_id.bundles(known, of, doc, np.ones(len(of)), len(texts), size, block, owners), wanted)
+    profiles = language_id.Profiles(["x", "y"], np.eye(2, size))
+    best, score = profiles.predict(texts)
+    cosine = wanted[:, :2] / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-30)
+    assert best.tolist() == [-1 if not w.any() else int(c.argmax()) for w, c in zip(wanted, cosine)]
+    assert np.allclose(score, [0 if not w.any() else max(0, c.max()) for w, c in zip(wanted, cosine)])
+
+
+def test_texts_of_many_letters_take_bounded_memory():
+    r = np.random.default_rng(5)
+    t = "".join(map(chr, r.integers(0x4E00, 0x4E00 + 20_000, 200_000)))
+    profiles = language_id.Profiles(["x"], np.eye(1, 1024))
+    assert peak_mb(lambda: profiles.predict([t])) < 1000
+
+
 def test_profiles_ignore_partitions_and_held_out_labels(spark):
     docs = spark.createDataFrame([(i, prose(i, 40), "ab"[i % 2]) for i in range(60)], "doc_id long, text string, lang string")
     rounded = lambda df: df.withColumn("score", F.round("score", 4)).orderBy("doc_id").collect()
