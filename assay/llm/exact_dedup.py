@@ -3,6 +3,7 @@
 First pass: each text's hash sets `hashes` bits of one word of a Bloom filter; what is kept is the
 filter of bits set more than once. Second pass: a row all of whose bits are in it is possibly
 repeated; only those rows shuffle, by the SHA-256 of their text, and the rest pass straight through.
+Groups come from partial aggregates, and a large group's rows are dealt over parts to meet theirs.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.shared import cut
+from assay.llm.shared import cut, looked_up
 
 
 def filter_words(rows: int, bits_per_row: int = 16, max_words: int = 1 << 20) -> int:
@@ -64,7 +65,6 @@ def mark_duplicates(docs: DataFrame, hashes: int = 3, bits_per_row: int = 16, ma
     repeats = probed.where("maybe").drop("maybe")
     groups = repeats.groupBy("text_sha256").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
     groups = groups.select("text_sha256", F.col("last.doc_id").alias("keep_id"), F.col("last.row").alias("keep_row"), "group_size")
-    # a hot group is one row on the right; Spark splits its rows on the left
-    resolved = repeats.join(groups.hint("merge"), "text_sha256").withColumn("kept", F.col("row") == F.col("keep_row")).select(*out)
+    resolved = looked_up(repeats, groups, "text_sha256", "row").withColumn("kept", F.col("row") == F.col("keep_row")).select(*out)
     straight = probed.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *out[4:])
     return straight.unionByName(resolved)

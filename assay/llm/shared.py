@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Parts into which the rows of one key are dealt.
+SALTS = 32
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -19,3 +23,14 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, key: str, by: str) -> DataFrame:
+    """rows with what lookup, which has one row for each key, says of their key; rows without it go.
+
+    The rows of a key are dealt over parts by a hash of column `by`, so that a key that many rows
+    share is not one task's work; lookup's row is there once for each part that has rows.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = dealt.select(key, "_part").distinct().join(lookup, key)
+    return dealt.join(parts, [key, "_part"]).drop("_part")
