@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from assay.llm import text
 from assay.llm.components import components
-from assay.llm.shared import cut
+from assay.llm.shared import cut, looked_up
 
 
 def fingerprints_of(texts: list[bytes], shingle: int, seed: int = 42) -> np.ndarray:
@@ -200,9 +200,10 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     groups = components(links(prints, radius, **tree)).withColumnRenamed("node", "fingerprint")
     named = prints.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    # hot fingerprints and components are one row on the right; Spark splits their rows on the left
-    named = named.select("fingerprint", "component").join(least.hint("merge"), "component").select("fingerprint", "component_id")
-    return marked.join(named.hint("merge"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = looked_up(named.select("fingerprint", "component"), least, "component", "fingerprint").select("fingerprint", "component_id")
+    # rows of one fingerprint are told apart by their doc_id, or by a number that only deals them out
+    numbered = marked.withColumn("_row", F.coalesce("doc_id", F.monotonically_increasing_id()))
+    return looked_up(numbered, named, "fingerprint", "_row").select("doc_id", "fingerprint", "component_id")
 
 
 def as_hex(c: Column) -> Column:

@@ -497,3 +497,25 @@ def test_quality(spark):
     assert {i: r["score"] for i, r in got.items()} == {r["doc_id"]: r["score"] for r in quality.score(docs, lied).collect()}
     assert quality.score(docs.limit(0), labels).count() == 0
     assert {r["score"] for r in quality.score(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_votes_equal_all_neighbours_in_order(spark):
+    texts = [prose(k, 30 + k) if k % 3 else " ".join(w + "$%" for w in prose(k, 25).split()) for k in range(90)]
+    docs, labels = frame(spark, list(enumerate(texts))), spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(90)], "doc_id long, quality int, toxic int")
+    voters = quality.fit_apart(docs, labels)
+    mine = [prose(500, 40), "$$ %% $$", "", *texts[:5]]
+    got = voters.score([t.encode() for t in mine], block=3)
+    for t, s in zip(mine, got):
+        v = quality.unit((quality.terms([t.encode()]) * voters.weights) @ voters.axes)[0]
+        near = sorted(((float(v @ x), y) for x, y in zip(voters.vectors, voters.labels)), reverse=True)[: voters.neighbours]
+        weight = [max(0.0, min(1.0, c)) ** voters.power for c, _ in near]
+        assert abs(s - (sum(w * y for w, (_, y) in zip(weight, near)) / sum(weight) if sum(weight) else voters.prior)) < 1e-4
+
+
+def test_held_out_quality_and_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.score(docs, labels).where("held_out").join(labels.select("doc_id", "quality").where("quality is not null"), "doc_id").select("score", "quality").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == k] for k in (1, 0))
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) > 0.97
+    told = language_id.identify(docs).where("held_out").join(docs.where("lang is not null").select("doc_id", "lang"), "doc_id").where("lang_pred <> 'und'")
+    assert told.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.99
