@@ -38,7 +38,7 @@ class Encoder:
     special token included, once by the whole tokenizer. Both are remembered by hash, up to a bound.
     """
 
-    def __init__(self, path: str, remembered: int = 2_000_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._forget()
@@ -196,7 +196,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int | None = 1, capacity: int = 2
         encoder = _encoder(tokenizer)
         packer = Packer(TaskContext.get().partitionId(), capacity, tolerance)
         for batch in batches:
-            for part in text.pieces(batch, "text", 8 << 20):
+            for part in text.pieces(batch, "text", 3 << 20):
                 ids, at = encoder.encode(text.as_bytes(part.column("text")), end)
                 yield _batch(packer.add(part.column("doc_id").to_pylist(), ids, at))
         yield _batch(packer.close())
