@@ -1,9 +1,10 @@
 """Secrets by three fixed patterns and by lexing assignments.
 
 The lexer reads source and configuration syntax into name-literal pairs (`name = "x"`,
-`"name": 'x'`, `name := x`, `<name>x</name>`, literals joined by `+`), follows names assigned from
-other names back to their literals, and scores each literal by how sensitive the name is that it
-reaches and by its own look.
+`"name": 'x'`, `name := x`, `name: str = x`, `<name>x</name>`, `setName("x")`, `put("name", "x")`,
+block scalars, triple and prefixed strings, fields in strings, strings and names joined by `+`),
+follows names back to their literals wherever these stand in the text, and scores each literal by
+how sensitive the name is that it reaches and by the look of the whole value.
 """
 
 from __future__ import annotations
@@ -28,11 +29,26 @@ HEX = re.compile("[0-9a-f]{32,}")
 #: How sensitive a part of a name is.
 PARTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "private": 0.6, "bearer": 0.8, "key": 0.4}
 _HINTS = tuple(p.encode() for p in ("pass", "pwd", "secret", "token", "apikey", "credential", "auth", "private", "bearer", "key"))
-_STRING = r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
-PAIR = re.compile(rf"""(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]*)(?:["'`]?\]?|["'])[\x20\t]*(?::=|=>|=(?![=~>])|:(?!:))[\x20\t]*(?:(?P<string>{_STRING}(?:[\x20\t]*\+[\x20\t]*{_STRING})*)|(?P<bare>[^\s"'`,;\#(){{}}\[\]<>]+))|<(?P<tag>[A-Za-z_][\w.-]*)>(?P<inner>[^<>\n]+)</(?P=tag)>""", re.A)
-_PIECE = re.compile(_STRING)
+_IDENTIFIER = r"[A-Za-z_$][\w$.]*+"
+_GAP = r"[\x20\t]*+(?:\\?\r?\n[\x20\t]*+)?"
+_QUOTED = "|".join([r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""', r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''", r'"(?:[^"\\\n]|\\.)*+"', r"'(?:[^'\\\n]|\\.)*+'", r"`[^`\n]*+`"])
+_STRING = rf"(?:[rRbBuUfF]{{1,2}}|[@$]{{1,2}})?(?:{_QUOTED})"
+#: Strings joined by + or by standing side by side, and names among them.
+_JOINED = rf"""(?:{_IDENTIFIER}{_GAP}\+{_GAP})*+{_STRING}(?:{_GAP}\+{_GAP}(?:{_STRING}|{_IDENTIFIER})|[\x20\t]+(?=["']){_STRING})*+"""
+_TYPE = r"[A-Za-z_][\w.]*+(?:\[[\w.,|\x20]*+\])?(?:[\x20\t]*\|[\x20\t]*\w++)*+"
+_ASSIGNED = rf"""(?:["'`]?\]?|["'])[\x20\t]*(?::[\x20\t]*{_TYPE}[\x20\t]+=(?=[\x20\t])|:=|=>|=(?![=~>])|:(?!:))[\x20\t]*(?:/\*[^*/\n]*+\*/[\x20\t]*)?"""
+PAIR = re.compile(
+    rf"""(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]*+)(?:{_ASSIGNED}(?:(?P<joined>{_JOINED})|(?P<block>[|>][-+0-9]{{0,2}})[\x20\t]*\r?\n|(?P<bare>[^\s"'`,;\#(){{}}\[\]<>]+))"""
+    rf"""|\([\x20\t]*(?:["'](?P<key>[\w$.-]++)["'][\x20\t]*,[\x20\t]*)?(?P<passed>{_JOINED})[\x20\t]*[),])|<(?P<tag>[A-Za-z_][\w.-]*)>(?P<inner>[^<>\n]+)</(?P=tag)>""",
+    re.A,
+)
+_TERM = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_IDENTIFIER})", re.A)
+_NAMED = re.compile(r"\$\{([A-Za-z_]\w*)\}", re.A)
+_FIELD = re.compile(r"\$?\{([A-Za-z_][\w.]*+)[^{}\n]*+\}", re.A)
+#: First words of functions whose argument becomes the value of what they are named after.
+SETTERS = {"set", "with", "use", "put", "add"}
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*", re.A)
+_WHOLE_NAME = re.compile(r"[A-Za-z_$][\w$.]*|\$\{[A-Za-z_]\w*\}", re.A)
 _DUMMY = re.compile(r"(?i)^(?:\$|%|<|\{|x{4}|\*{3})|example|changeme|placeholder|your[_-]|dummy|^(?:none|null|true|false|undefined)$|os\.environ|getenv|process\.env")
 
 
@@ -49,39 +65,149 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How much a literal looks like a secret: length and spread of its characters."""
-    if len(value) < 6 or _DUMMY.search(value) or any(c.isspace() for c in value):
+    return _spread(Counter(value)) if _plausible(value) else 0.0
+
+
+def _plausible(value: str) -> bool:
+    return bool(value) and not _DUMMY.search(value) and not any(c.isspace() for c in value)
+
+
+def _spread(counts: Counter) -> float:
+    n = sum(counts.values())
+    if n < 6:
         return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
     return min(1.0, n / 12) * min(1.0, bits / 2.5)
 
 
-def lexed(t: str, threshold: float = 0.5) -> list[tuple[int, int, float, str]]:
-    """(start, end, score, name) of each literal that reaches a sensitive name, in order."""
-    literals: dict[str, tuple[int, int]] = {}
-    names: list[tuple[str, list[tuple[int, int]]]] = []
-    for m in PAIR.finditer(t):
+class _Pair:
+    """A name and what it is given: spans of literals, and other pairs whose names stand there."""
+
+    __slots__ = ("name", "spans", "names", "uses", "counts", "best")
+
+    def __init__(self, name: str):
+        self.name, self.spans, self.names, self.uses, self.counts, self.best = name, [], [], [], None, (0.0, "")
+
+    def take(self, t: str, a: int, b: int) -> None:
+        """The literal at t[a:b], without white space around it."""
+        value = t[a:b]
+        a += len(value) - len(value.lstrip())
+        if _plausible(value.strip()):
+            self.spans.append((a, a + len(value.strip())))
+
+    def take_string(self, t: str, a: int, b: int) -> None:
+        """A string with its prefix and quotes: the text between its fields, and the names in them."""
+        q = a
+        while t[q] not in "\"'`":
+            q += 1
+        width = 3 if t[q : q + 3] in ('"""', "'''") and b - q >= 6 else 1
+        field, at, end = _FIELD if t[q] == "`" or set(t[a:q]) & set("fF$") else _NAMED, q + width, b - width
+        for m in field.finditer(t, at, end):
+            self.take(t, at, m.start())
+            self.names.append(m[1])
+            at = m.end()
+        self.take(t, at, end)
+
+    def take_joined(self, t: str, a: int, b: int) -> None:
+        for m in _TERM.finditer(t, a, b):
+            if m["string"]:
+                self.take_string(t, *m.span())
+            else:
+                self.names.append(m["name"])
+
+
+def _block(t: str, key: int, at: int) -> tuple[list[tuple[int, int]], int]:
+    """Lines from at on that are empty or indented deeper than the line of key, and where they end."""
+    line = t.rfind("\n", 0, key) + 1
+    depth, lines = re.compile(r"[\x20\t]*").match(t, line).end() - line, []
+    while at < len(t):
+        end = t.find("\n", at)
+        end = len(t) if end < 0 else end
+        first = re.compile(r"[\x20\t\r]*").match(t, at, end).end()
+        if first < end and first - at <= depth:
+            break
+        lines.append((first, end))
+        at = end + 1
+    return lines, at
+
+
+def _pairs(t: str) -> list[_Pair]:
+    """All pairs in order. A name in a value means its last pair before, or else its first one after."""
+    pairs, last, first, later = [], {}, {}, []
+    at = 0
+    while m := PAIR.search(t, at):
+        at, name, bare = m.end(), m["name"] or m["tag"], m["bare"]
+        if m["passed"]:
+            called = name.rpartition(".")[2]
+            words = [w.lower() for w in _WORD.findall(called)]
+            name = m["key"] or (called if words and (words[0] in SETTERS or words[0] in PARTS) else None)
+            if not name:  # not a setter; its arguments may hold pairs
+                at = m.end("name")
+                continue
+        pair = _Pair(name)
         if m["tag"]:
-            at, name = [m.span("inner")], m["tag"]
-        elif m["string"]:
-            at, name = [(m.start("string") + p.start() + 1, m.start("string") + p.end() - 1) for p in _PIECE.finditer(m["string"])], m["name"]
+            pair.take(t, *m.span("inner"))
+        elif m["passed"]:
+            pair.take_joined(t, *m.span("passed"))
+        elif m["joined"]:
+            pair.take_joined(t, *m.span("joined"))
+        elif m["block"]:
+            if name_score(name):
+                lines, at = _block(t, m.start(), at)
+                for line in lines:
+                    pair.take(t, *line)
+        elif _WHOLE_NAME.fullmatch(bare):
+            pair.names.append(bare.strip("${}") if bare.startswith("${") else bare)
         else:
-            name, bare = m["name"], m["bare"]
-            if t[m.end() : m.end() + 1] in ("(", "[") and _IDENTIFIER.fullmatch(bare):  # a call or an element
-                at = literals.get(bare, [])
-            else:  # what a known name stands for so far, or else the value itself
-                at = literals.get(bare, [m.span("bare")])
-        if at:
-            literals[name] = at
-            names.append((name, at))
+            pair.take(t, *m.span("bare"))
+        missing = []
+        for n in dict.fromkeys(pair.names):
+            pair.uses.append(last[n]) if n in last else missing.append(n)
+        if missing:
+            # a call or an element is no value of its own
+            own = m.span("bare") if bare and not bare.startswith("${") and t[m.end() : m.end() + 1] not in ("(", "[") else None
+            later.append((pair, missing, own))
+        pairs.append(pair)
+        if not m["passed"]:
+            last[name] = pair
+            first.setdefault(name, pair)
+    for pair, missing, own in later:
+        found = [first[n] for n in missing if n in first and first[n] is not pair]
+        pair.uses += found
+        if own and not found:
+            pair.take(t, *own)
+    return pairs
+
+
+def lexed(t: str, threshold: float = 0.5) -> list[tuple[int, int, float, str]]:
+    """(start, end, score, name) of each literal that reaches a sensitive name, in order."""
+    pairs = _pairs(t)
+    users = Counter(id(u) for p in pairs for u in p.uses)
+    # users before what they use; of names given in a circle, those left over go last, in order
+    order, seen = [p for p in pairs if not users[id(p)]], set()
+    for p in order:
+        seen.add(id(p))
+        for u in p.uses:
+            users[id(u)] -= 1
+            if not users[id(u)]:
+                order.append(u)
+    order += [p for p in pairs if id(p) not in seen]
+    for p in reversed(order):
+        p.counts = Counter("".join(t[a:b] for a, b in p.spans))
+        for u in p.uses:
+            if u.counts is not None and sum(u.counts.values()) < 1 << 40:  # more no longer changes the score
+                p.counts.update(u.counts)
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for name, at in names:
-        if weight := name_score(name):
-            score = weight * literal_score("".join(t[a:b] for a, b in at))
-            if score >= threshold:
-                for x in at:
-                    best[x] = max(best.get(x, (0.0, "")), (score, name))
-    return [(*x, *best[x]) for x in sorted(best) if x[0] < x[1]]
+    for p in order:
+        weight = name_score(p.name)
+        if weight and (score := weight * _spread(p.counts)) >= threshold:
+            p.best = max(p.best, (score, p.name))
+        if p.best[0]:
+            for u in p.uses:
+                u.best = max(u.best, p.best)
+            for x in p.spans:
+                best[x] = max(best.get(x, (0.0, "")), p.best)
+    return [(*x, *best[x]) for x in sorted(best)]
 
 
 def secrets(raw: bytes, threshold: float = 0.5) -> list[dict]:

@@ -19,7 +19,42 @@ def test_known_names_and_calls_are_not_values():
     assert [t[s["start"] : s["end"]] for s in secret_scan.secrets(t.encode())] == ["Tr0ub4dorX9"]
 
 
-@pytest.mark.parametrize("piece", ["pwd" + "a" * 50, "<pwd>" + "a" * 50, "pwd ", "<pwd>aaa</pw"])
+@pytest.mark.parametrize(
+    "t, values",
+    [
+        ('pwd: str = "Tr0ub4dorX9"', ["Tr0ub4dorX9"]),
+        ('x_pwd = """\n  Tr0ub4dorX9\n"""', ["Tr0ub4dorX9"]),
+        ("pwd = rb'Tr0ub4dorX9'", ["Tr0ub4dorX9"]),
+        ('pwd = /* old */ "Tr0ub4dorX9"', ["Tr0ub4dorX9"]),
+        ("a:\n  private_pwd: |\n    aB3dE5gHxx\n\n    Zx81kQpLm4\n  next: Zx81kQpLm4", ["aB3dE5gHxx", "Zx81kQpLm4"]),
+        ('conn.setPassword("Tr0ub4dorX9")', ["Tr0ub4dorX9"]),
+        ('p.put("db.pwd", "Tr0ub4dorX9")', ["Tr0ub4dorX9"]),
+        ('base = "Tr0ub4dor"\ndb_pwd = base + "X7kQ"', ["Tr0ub4dor", "X7kQ"]),
+        ('db_pwd = f"{base}X7kQ"\nbase = "Tr0ub4dor"', ["X7kQ", "Tr0ub4dor"]),
+        ('a=b\nb=c\nc="Tr0ub4dorX9"\nmy_pwd=a', ["Tr0ub4dorX9"]),
+        ('x_pwd = "Tr0ub" "4dorX9"', ["Tr0ub", "4dorX9"]),
+        ('DB_PWD="${BASE}Tr0ub4dorX9"', ["Tr0ub4dorX9"]),
+        ("passphrase: c2VjcmV0UGFzc= old", ["c2VjcmV0UGFzc="]),
+        ("a=b\nb=a\npwd=a", []),
+        ("DB_PWD=${ELSEWHERE}", []),
+        ('my_pwd = "of three words"', []),
+        ('note = "Tr0ub4dorX9"', []),
+    ],
+)
+def test_values_by_syntax(t, values):
+    found = [t[s["start"] : s["end"]] for s in secret_scan.secrets(t.encode()) if s["kind"] == "literal"]
+    assert sorted(found) == sorted(values)
+
+
+def test_a_literal_scores_by_the_most_sensitive_name_that_it_reaches():
+    t = 'x = "Tr0ub4dorX9"\nauth = x\npwd = auth\n'
+    assert [(s["name"], s["score"]) for s in secret_scan.secrets(t.encode())] == [("pwd", secret_scan.literal_score("Tr0ub4dorX9"))]
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["pwd" + "a" * 50, "<pwd>" + "a" * 50, "pwd ", "<pwd>aaa</pw", 'x_pwd = x_pwd + "ab"\n', 'pwd="""', "pwd = /* ", "pwd: |\n  pwd: |\n", "pwd: a[", "pwd=b+", 'pwd=f"{', 'pwd="a"  ', "a=pwd;pwd=a;"],
+)
 def test_long_texts_take_linear_time(piece):
     began = time.perf_counter()
     secret_scan.secrets((piece * (2_000_000 // len(piece))).encode())
