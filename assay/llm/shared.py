@@ -25,6 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_side(keys: DataFrame, most: int = 1 << 22) -> DataFrame:
+    """keys (a few longs a row), written and counted: broadcast to a join if there are `most` rows or fewer, else shuffled."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def looked_up(rows: DataFrame, lookup: DataFrame, key: str, by: str) -> DataFrame:
     """rows with what lookup, which has one row for each key, says of their key; rows without it go.
 
