@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.operators import features, metrics
-from assay.operators.models import Spec, build_estimator, predictions, top_features
+from assay.operators.boosting import Booster
+from assay.operators.mlp import Network
+from assay.operators.models import TOGETHER, Spec, build_estimator, predictions, top_features
 from assay.operators.profile import kinds
 from assay.session import cut
 
@@ -140,12 +142,12 @@ def facts_of(ready: DataFrame, task: str, own: str, trains: dict[int, list[int]]
 
 
 def _fit(train: DataFrame, spec: Spec, made: Features, facts: Facts, n_classes: int):
-    estimator, ignored = build_estimator(spec, len(made.names), n_classes, facts.n, facts.std or 1.0)
+    estimator = build_estimator(spec, len(made.names), n_classes, facts.n, facts.std or 1.0)
     ready = made.apply(train)
     if estimator.hasParam("weightCol") and estimator.isSet("weightCol"):
         each = [(F.lit(c), F.lit(facts.n / (len(facts.classes) * k))) for c, k in sorted(facts.classes.items())]
         ready = ready.withColumn("weight", F.element_at(F.create_map(*[x for pair in each for x in pair]), F.col("label")))
-    return estimator.fit(ready), ignored
+    return estimator.fit(ready)
 
 
 class Folds:
@@ -174,14 +176,27 @@ class Folds:
                 self.learned[key] = learn(self.ready, spec, ("label", *self.keep), "_own", self.trains)
             return {i: replace(x, spec=spec) for i, x in self.learned[key].items()}
 
-    def scored(self, spec: Spec, i: int) -> DataFrame:
-        """repeat, fold, side, label and score or probs of the rows of one fold and of its training set, by a model fitted on the latter."""
-        made, (r, f) = self.features(spec)[i], self.places[i]
-        model, _ = _fit(self.ready.where(F.col("_own").isin(self.trains[i])), spec, made, self.facts[i], self.classes)
+    def jobs(self, spec: Spec) -> list[list[int]]:
+        """Folds to fit at a time: all, of models that fit several training sets side by side, else each alone."""
+        return [list(self.places)] if spec.model in TOGETHER and self.places else [[i] for i in self.places]
+
+    def scored(self, spec: Spec, folds: list[int]) -> list[DataFrame]:
+        """repeat, fold, side, label and score or probs of the rows of each fold and of its training set, by a model fitted on the latter."""
+        made = self.features(spec)
+        train = lambda i: self.ready.where(F.col("_own").isin(self.trains[i]))
+        if spec.model in TOGETHER:
+            first = self.facts[folds[0]]
+            fitted = build_estimator(spec, len(made[folds[0]].names), self.classes, first.n, first.std or 1.0).fit_sets({i: made[i].apply(train(i)) for i in folds})
+        else:
+            fitted = {i: _fit(train(i), spec, made[i], self.facts[i], self.classes) for i in folds}
+        return [self._predicted(spec, i, made[i], fitted[i]) for i in folds]
+
+    def _predicted(self, spec: Spec, i: int, made: Features, model) -> DataFrame:
         own = self.ready.where(F.col("_own").isin([i, *self.trains[i]]))
         out = predictions(model.transform(made.apply(own)), spec.task, self.classes)
-        side = F.when(F.col("_own") == i, "test").otherwise("train").alias("side")
-        return out.select(F.lit(r).alias("repeat"), F.lit(f).alias("fold"), side, "label", *[c for c in ("score", "probs") if c in out.columns])
+        side, (r, f) = F.when(F.col("_own") == i, "test").otherwise("train").alias("side"), self.places[i]
+        value = "score" if "score" in out.columns else "probs"
+        return out.select(F.lit(r).alias("repeat"), F.lit(f).alias("fold"), side, "label", value)
 
     def scores(self, spec: Spec, parts: list[DataFrame], each: int = 100_000) -> list[tuple]:
         """candidate, repeat, fold, side, metric and value: each metric in one job for all folds."""
@@ -196,7 +211,7 @@ class Folds:
 def cross_validate(df: DataFrame, spec: Spec, fold_cols: tuple[str, str] = ("repeat", "fold"), in_time: bool = False) -> DataFrame:
     """candidate, repeat, fold, side (train or test), metric, value of one candidate on rows with repeat and fold (see `Folds`)."""
     folds = Folds(df, spec, fold_cols, in_time)
-    return df.sparkSession.createDataFrame(folds.scores(spec, [folds.scored(spec, i) for i in folds.places]), RESULT).coalesce(1)
+    return df.sparkSession.createDataFrame(folds.scores(spec, [x for job in folds.jobs(spec) for x in folds.scored(spec, job)]), RESULT).coalesce(1)
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -234,13 +249,13 @@ def run_round(df: DataFrame, specs: list[Spec], threads: int = 6, in_time: bool
     def ended(spec: Spec) -> tuple:
         mine = [x for s, x in zip(owners, fits) if s is spec]
         wrong = next((e for _, e, _ in mine if e), None)
-        rows, wrong, took = (None, wrong, 0.0) if wrong else tried(lambda: of(spec).scores(spec, [x for x, _, _ in mine]))
+        rows, wrong, took = (None, wrong, 0.0) if wrong else tried(lambda: of(spec).scores(spec, [x for part, _, _ in mine for x in part]))
         return rows or [], wrong, took + sum(t for _, _, t in mine)
 
     of = lambda s: shared[s.task, s.target, s.drop]
-    owners, parts = zip(*[(s, i) for s in specs for i in of(s).places]) if specs else ((), ())
+    owners, parts = zip(*[(s, job) for s in specs for job in of(s).jobs(s)]) if specs else ((), ())
     with ThreadPoolExecutor(threads) as pool:
-        fits = list(pool.map(lambda s, i: tried(lambda: of(s).scored(s, i)), owners, parts))
+        fits = list(pool.map(lambda s, job: tried(lambda: of(s).scored(s, job)), owners, parts))
         done = list(pool.map(ended, specs))
     spark = df.sparkSession
     status = [(s.name, s.model, e is None, e, t) for s, (_, e, t) in zip(specs, done)]
@@ -249,19 +264,18 @@ def run_round(df: DataFrame, specs: list[Spec], threads: int = 6, in_time: bool
 
 
 def fit_whole(ready: DataFrame, spec: Spec, keep: tuple[str, ...] = ()):
-    """Features, model, number of classes and ignored parameters of one candidate on all rows of a prepared table."""
+    """Features, model and number of classes of one candidate on all rows of a prepared table."""
     ready, one = ready.withColumn("_own", F.lit(0)), {0: [0]}
     made, facts = learn(ready, spec, ("label", *keep), "_own", one)[0], facts_of(ready, spec.task, "_own", one)[0]
     n_classes = 1 + int(max(facts.classes, default=0)) if spec.task == "classification" else 0
-    model, ignored = _fit(ready, spec, made, facts, n_classes)
-    return made, model, n_classes, ignored
+    return made, _fit(ready, spec, made, facts, n_classes), n_classes
 
 
 def predict_holdout(dev: DataFrame, hidden: DataFrame, spec: Spec, keys: list[str]) -> DataFrame:
     """model, keys, label, and score or probs of the hidden rows of known class, by a model fitted on dev; 6 decimals."""
     classes = dev.select(spec.target) if spec.task == "classification" else None
     keep = tuple(k for k in keys)
-    made, model, n_classes, _ = fit_whole(cut(prepare(dev, spec, keep)), spec, keep)
+    made, model, n_classes = fit_whole(cut(prepare(dev, spec, keep)), spec, keep)
     scored = predictions(model.transform(made.apply(prepare(hidden, spec, keep, classes))), spec.task, n_classes)
     value = F.round("score", 6).alias("score") if "score" in scored.columns else F.transform("probs", lambda p: F.round(p, 6)).alias("probs")
     return scored.select(F.lit(spec.name).alias("model"), *keys, "label", value)
@@ -276,14 +290,21 @@ def predict_cost(preds: DataFrame) -> float:
 
 def fit_final(df: DataFrame, spec: Spec, path: str | None = None, top: int = 10) -> DataFrame:
     """name and importance of the top features of the candidate fitted on all rows; the model and its spec go to path."""
-    made, model, _, ignored = fit_whole(cut(prepare(df, spec)), spec)
+    made, model, _ = fit_whole(cut(prepare(df, spec)), spec)
     if path:
-        PipelineModel([model]).write().overwrite().save(f"{path}/model")
-        record = {"name": spec.name, "model": spec.model, "task": spec.task, "target": spec.target, "params": spec.params, "features": made.names, "ignored_params": ignored}
-        df.sparkSession.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
+        spark = df.sparkSession
+        own = isinstance(model, (Booster, Network))
+        if own:
+            spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+        else:
+            PipelineModel([model]).write().overwrite().save(f"{path}/model")
+        record = {"name": spec.name, "model": spec.model, "task": spec.task, "target": spec.target, "params": spec.params, "features": made.names, "kind": type(model).__name__ if own else "pipeline"}
+        spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/spec")
     return top_features(model, made.names, df.sparkSession, top)
 
 
-def load_final(spark, path: str) -> tuple[PipelineModel, dict]:
+def load_final(spark, path: str) -> tuple[PipelineModel | Booster | Network, dict]:
     """What fit_final has saved."""
-    return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/spec").first()[0])
+    record = json.loads(spark.read.text(f"{path}/spec").first()[0])
+    kind = {"Booster": Booster, "Network": Network}.get(record["kind"])
+    return (PipelineModel.load(f"{path}/model") if kind is None else kind.from_json(spark.read.text(f"{path}/model").first()[0])), record

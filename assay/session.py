@@ -43,3 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     return out.coalesce(1) if out.rdd.getNumPartitions() == 1 else out
+
+
+def drop(df: DataFrame) -> None:
+    """Forget a table that `cut` has written, and remove its folder; nothing may read it later."""
+    df.unpersist()
+    session = df.sparkSession
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = session._jvm.org.apache.hadoop.fs.Path(file)
+        if path.getName().startswith("table-"):
+            path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
