@@ -31,14 +31,14 @@ _SEED = 42
 
 
 def heavy_prefixes(docs: DataFrame, range_bytes: int = 16 << 20, first: int = 4, text: str = "text") -> tuple[dict[int, list[int]], int, int]:
-    """Hashes of prefixes, by length, whose texts have more bytes than a range may; bytes of a range; and of all texts.
+    """Hashes of prefixes, by length, whose texts have over an eighth of a range's bytes; bytes of a range; and of all texts.
 
     Lengths double as long as a prefix of the last one is heavy and has different texts. A range has
     `range_bytes`, or more so that 2^18 prefixes of a length are heavy at most.
     """
     data = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t"))
     total = int(data.agg(F.sum(F.length("t"))).first()[0] or 0)
-    most, size, heavy = max(range_bytes, total >> 18), first, {}
+    most, size, heavy = max(range_bytes, total >> 15), first, {}
     at = lambda n: F.xxhash64(F.substring("t", 1, n))
     while True:
         longer = data.where(F.length("t") >= size) if size > first else data
@@ -46,7 +46,7 @@ def heavy_prefixes(docs: DataFrame, range_bytes: int = 16 << 20, first: int = 4,
             last = data.sparkSession.createDataFrame([(h,) for h in heavy[size // 2]], "_h long").coalesce(1)
             longer = longer.join(F.broadcast(last), at(size // 2) == F.col("_h"), "left_semi")
         found = longer.groupBy(at(size).alias("h")).agg(F.sum(F.length("t")).alias("n"), F.min(F.xxhash64("t")).alias("a"), F.max(F.xxhash64("t")).alias("b"))
-        heavy[size] = [r["h"] for r in found.where((F.col("n") > most) & (F.col("a") != F.col("b"))).select("h").collect()]
+        heavy[size] = [r["h"] for r in found.where((F.col("n") > most // 8) & (F.col("a") != F.col("b"))).select("h").collect()]
         if not heavy[size]:
             return heavy, most, total
         size *= 2
