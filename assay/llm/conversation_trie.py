@@ -234,7 +234,7 @@ def _shared_by_many(rows: DataFrame, least: int, most: int) -> DataFrame:
     return counts.where((F.col("n") > bound) | (F.col("depth") == 0)).select(*PATH, F.lit(True).alias("top"))
 
 
-def prefix_trie(turns: DataFrame, convs: DataFrame, least: int = 1 << 10, most: int = 1 << 17, limit: int = 1 << 18) -> DataFrame:
+def prefix_trie(turns: DataFrame, convs: DataFrame, least: int = 1 << 6, most: int = 1 << 17, limit: int = 1 << 18) -> DataFrame:
     """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens and ends_sha256 of each node.
 
     turns as for `paths`, of the conversations convs. A node is named by its smallest member and its
