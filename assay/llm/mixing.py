@@ -59,7 +59,8 @@ def _drawn(seed: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / 4294967296.0 < F.col("fraction")
 
 
-_COPIES = (F.col("whole") + F.when(_drawn(F.col("seed")), 1).otherwise(0)).cast("int").alias("copies")
+def _copies() -> Column:
+    return (F.col("whole") + F.when(_drawn(F.col("seed")), 1).otherwise(0)).cast("int").alias("copies")
 
 
 def _met(rows: DataFrame, sources: DataFrame, most: int) -> DataFrame:
@@ -95,11 +96,11 @@ def copies(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text
     agree, however the table is partitioned. broadcast: sources up to which their table is broadcast.
     """
     rows = cut(sized(docs, F.col(id_col).cast("long").alias("doc_id"), source=source, text=text))
-    return _met(rows, rates(rows, broadcast=broadcast, **how), broadcast).select("doc_id", "source", "size", "source_size", "target", _COPIES)
+    return _met(rows, rates(rows, broadcast=broadcast, **how), broadcast).select("doc_id", "source", "size", "source_size", "target", _copies())
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", broadcast: int = 1 << 16, **how) -> DataFrame:
     """The mixed corpus: every document once for each of its copies, with all its columns."""
     rows = sized(docs, F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), source=source, text=text)
     met = _met(rows, rates(cut(rows.select("doc_id", "source", "size")), broadcast=broadcast, **how), broadcast)
-    return met.select("row", F.explode(F.array_repeat(F.lit(0), _COPIES))).select("row.*")
+    return met.select("row", F.explode(F.array_repeat(F.lit(0), _copies()))).select("row.*")
