@@ -29,6 +29,11 @@ def arrays(train: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("a", "y"))
 
 
+def united(sets: dict[int, DataFrame]) -> DataFrame:
+    """set, a, y and h of the rows of all sets."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(s).alias("set"), "a", "y", "h") for s, df in sets.items()])
+
+
 def matrix(batch: pa.RecordBatch) -> np.ndarray:
     """Column a as rows of an array."""
     return batch.column("a").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
@@ -54,9 +59,8 @@ def blocks_of(sets: dict[int, DataFrame], rows: int, encode: Callable[[int, np.n
 
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     pa_schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
-    each = [df.select(F.lit(s).alias("set"), "a", "y", "h") for s, df in sets.items()]
     tasks = max(1, math.ceil(rows / TASK_ROWS))
-    return kept(reduce(DataFrame.unionByName, each).mapInArrow(made, schema).coalesce(tasks))
+    return kept(united(sets).mapInArrow(made, schema).coalesce(tasks))
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -64,8 +68,12 @@ def kept(df: DataFrame) -> DataFrame:
     return cut(df).persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def merged(partial: DataFrame, keys: list[str], bytes_all: int, merge: Callable, schema: str) -> DataFrame:
-    """What tasks have found, put together by key in a few tasks; tables of one task are not shuffled."""
-    if partial.rdd.getNumPartitions() > 1:
-        partial = partial.repartition(max(1, bytes_all >> 24), *keys)
-    return partial.mapInArrow(merge, schema)
+def merged(table: DataFrame, tasks: int, keys: list[str], bytes_all: int, find: Callable, between: str, merge: Callable, schema: str) -> DataFrame:
+    """What each task finds in blocks, put together by key in a few tasks; nothing is shuffled if the table is one task's (see `tasks_of`)."""
+    if tasks == 1:
+        return table.mapInArrow(lambda batches: merge(find(batches)), schema)
+    return table.mapInArrow(find, between).repartition(max(1, bytes_all >> 24), *keys).mapInArrow(merge, schema)
+
+
+def tasks_of(table: DataFrame) -> int:
+    return table.rdd.getNumPartitions()

@@ -209,17 +209,19 @@ class Boosting:
         return self.fit_sets({0: train})[0]
 
     def _facts(self, sets: dict[int, DataFrame]) -> dict[int, tuple[int, list[np.ndarray], list[float]]]:
-        """Rows, bounds of bins (at most 254 values of each feature) and start scores of each set, from one aggregate."""
+        """Rows, bounds of bins (at most 254 values of each feature) and start scores of each set, from two aggregates."""
+        rows, classes = blocks.united(sets), range(max(2, self.k))
+        labels = [F.count_if(F.col("y") == k).alias(f"n{k}") for k in classes]
+        found = {r["set"]: r for r in rows.groupBy("set").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.max(F.size("a")).alias("width"), *labels).collect()}
+        grid = ", ".join(f"{i / MAX_BINS!r}D" for i in range(1, MAX_BINS + 1))
+        values = [F.expr(f"percentile_approx(get(a, {j}), array({grid}), 10000)").alias(f"g{j}") for j in range(max(r["width"] for r in found.values()))]
         out = {}
-        for s, rows in sets.items():
-            width = len(rows.first()["a"])
-            grid = [i / MAX_BINS for i in range(1, MAX_BINS)] + [1.0]
-            labels = [F.count_if(F.col("y") == k).alias(f"n{k}") for k in range(self.k if self.k > 1 else 2)]
-            r = rows.agg(F.count("*").alias("n"), F.avg("y").alias("mean"), *labels, *[F.percentile_approx(F.col("a")[j], grid, 10000).alias(f"g{j}") for j in range(width)]).first()
-            bounds = [np.unique(np.array(r[f"g{j}"], float))[:-1][: MAX_BINS - 1] for j in range(width)]
-            share = [(r[f"n{k}"] + 1e-9) / r["n"] for k in range(len(labels))]
-            start = [float(r["mean"])] if self.task == "regression" else [math.log(x) for x in share] if self.k > 1 else [math.log(share[1] / share[0])]
-            out[s] = r["n"], bounds, start
+        for r in rows.groupBy("set").agg(*values).collect():  # 255 numbers for each feature
+            own = found[r["set"]]
+            bounds = [np.unique(np.array(r[f"g{j}"], float))[:-1][: MAX_BINS - 1] for j in range(own["width"])]
+            share = [(own[f"n{k}"] + 1e-9) / own["n"] for k in classes]
+            start = [float(own["mean"])] if self.task == "regression" else [math.log(x) for x in share] if self.k > 1 else [math.log(share[1] / share[0])]
+            out[r["set"]] = own["n"], bounds, start
         return out
 
     def fit_sets(self, trains: dict[int, DataFrame]) -> dict[int, Booster]:
@@ -233,10 +235,11 @@ class Boosting:
             yield s, len(x), binned(x, bounds[s]).tobytes(), y.tobytes(), h.tobytes(), scores.tobytes()
 
         table = blocks.blocks_of(sets, sum(f[0] for f in facts.values()), encode, "set int, n int, x binary, y binary, h binary, f binary")
+        tasks = blocks.tasks_of(table)
         models = {s: Booster(self.task, bounds[s], facts[s][2], [], len(bounds[s])) for s in sets}
         since: dict[int, list[list[Tree]]] = {s: [] for s in sets}
         for number in range(self.p.n_estimators):
-            grown = self._round(table, number, since, models)
+            grown = self._round(table, tasks, number, since, models)
             if not any(len(t.feature) > 1 for trees in grown.values() for t in trees):
                 break
             for s, trees in grown.items():
@@ -245,12 +248,13 @@ class Boosting:
             if len(next(iter(since.values()))) == _REFRESH and number + 1 < self.p.n_estimators:
                 table, last = blocks.kept(table.mapInArrow(_rescored(since), table.schema)), table
                 table.count()
+                tasks = blocks.tasks_of(table)
                 since = {s: [] for s in sets}
                 drop(last)
         drop(table)
         return models
 
-    def _round(self, table: DataFrame, number: int, since: dict, models: dict[int, Booster]) -> dict[int, list[Tree]]:
+    def _round(self, table: DataFrame, tasks: int, number: int, since: dict, models: dict[int, Booster]) -> dict[int, list[Tree]]:
         """The trees of one round for each set: steps until nothing is left to examine."""
         p, rng = self.p, np.random.default_rng([self.p.seed, number])
         columns = {s: [np.sort(rng.permutation(m.n_features)[: max(1, round(p.columns * m.n_features))]) for _ in range(self.k)] for s, m in models.items()}
@@ -259,9 +263,11 @@ class Boosting:
         bag = None if p.every == 0 or p.subsample >= 1 else number // p.every + 1
         while todo:
             trees = {key: growing[key].tree for key in todo}
-            partial = table.where(F.col("set").isin(sorted({s for s, _ in todo}))).mapInArrow(_histograms(self.task, p, since, trees, todo, columns, bag), "set int, k int, node int, hist binary")
+            find = _histograms(self.task, p, since, trees, todo, columns, bag)
             size = sum(len(nodes) * len(columns[s][k]) * MAX_BINS * 24 for (s, k), nodes in todo.items())
-            for r in blocks.merged(partial, ["set", "k", "node"], size, _best(p, columns), _SPLIT).collect():  # a row for each node examined
+            rows = table.where(F.col("set").isin(sorted({s for s, _ in todo})))
+            best = blocks.merged(rows, tasks, ["set", "k", "node"], size, find, "set int, k int, node int, hist binary", _best(p, columns), _SPLIT)
+            for r in best.collect():  # a row for each node examined
                 own = growing[r["set"], r["k"]]
                 own.splits[r["node"]] = r.asDict() if r["feature"] >= 0 else None
                 own.sums[r["node"]] = (r["g"], r["h"], r["n"])

@@ -175,20 +175,20 @@ class Perceptron:
     def fit_sets(self, trains: dict[int, DataFrame]) -> dict[int, Network]:
         """A model of each training set (features and label), trained side by side."""
         p, sets = self.p, {s: blocks.arrays(df) for s, df in trains.items()}
-        facts = {s: df.agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.max(F.size("a")).alias("width")).first() for s, df in sets.items()}
+        facts = {r["set"]: r for r in blocks.united(sets).groupBy("set").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.max(F.size("a")).alias("width")).collect()}
         share = VALIDATION if p.early_stopping else 0.0
         states = {s: State(start([r["width"], *p.hidden, self.out], p.seed), max(1, min(MOST_BATCHES, round(r["n"] * (1 - share) / BATCH_ROWS)))) for s, r in facts.items()}
         sizes = {s: [r["width"], *p.hidden, self.out] for s, r in facts.items()}
         scale = {s: (r["mean"], r["std"] or 1.0) if self.task == "regression" else (0.0, 1.0) for s, r in facts.items()}
         table = self._table(sets, states, scale, share, sum(r["n"] for r in facts.values()))
-        rng = np.random.default_rng(p.seed)
+        tasks, rng = blocks.tasks_of(table), np.random.default_rng(p.seed)
         for epoch in range(p.max_iter + 1):
             order = rng.permutation(MOST_BATCHES)
             for step in range(max(s.batches for s in states.values())):
                 own = {k: [b for b in order if b < s.batches][step] for k, s in states.items() if not s.over and step < s.batches}
                 if not own:
                     continue
-                found = self._step(table, states, sizes, own, step == 0)
+                found = self._step(table, tasks, states, sizes, own, step == 0)
                 for s, (g, loss, n, good, m) in found.items():
                     state = states[s]
                     if step == 0 and epoch:  # the weights are those after the last epoch
@@ -216,7 +216,7 @@ class Perceptron:
 
         return blocks.blocks_of(sets, rows, encode, "set int, part int, n int, x binary, y binary")
 
-    def _step(self, table: DataFrame, states: dict, sizes: dict, own: dict[int, int], first: bool) -> dict[int, tuple]:
+    def _step(self, table: DataFrame, tasks: int, states: dict, sizes: dict, own: dict[int, int], first: bool) -> dict[int, tuple]:
         """Of each set: gradient, loss and rows of its mini-batch; and, in an epoch's first step, the validation score's sum and rows."""
         task, weights = self.task, {s: states[s].w for s in own}
         wanted = F.lit(False)
@@ -239,9 +239,8 @@ class Perceptron:
                         r[1], r[2] = r[1] + loss_sum(z, y, task), r[2] + n
             yield from _rows(found)
 
-        partial = table.where(wanted).mapInArrow(sums, _SUMS)
         size = sum(8 * len(w) for w in weights.values())
-        return {r["set"]: (np.frombuffer(r["g"]), r["loss"], r["n"], r["good"], r["m"]) for r in blocks.merged(partial, ["set"], size, _added, _SUMS).collect()}  # a row for each set
+        return {r["set"]: (np.frombuffer(r["g"]), r["loss"], r["n"], r["good"], r["m"]) for r in blocks.merged(table.where(wanted), tasks, ["set"], size, sums, _SUMS, _added, _SUMS).collect()}  # a row for each set
 
 
 _SUMS = "set int, g binary, loss double, n long, good double, m long"
