@@ -28,6 +28,8 @@ _MARKS = np.zeros(256, bool)
 _MARKS[list(b"#$%&*|")] = True
 _JUDGED = "doc_id long, part string, mask int, text binary, prefix binary"
 _SEED = 42
+#: Lengths of prefixes that are counted in one pass.
+_AT_ONCE = 4
 
 
 def heavy_prefixes(docs: DataFrame, range_bytes: int = 16 << 20, first: int = 4, text: str = "text") -> tuple[dict[int, list[int]], int, int]:
@@ -41,15 +43,19 @@ def heavy_prefixes(docs: DataFrame, range_bytes: int = 16 << 20, first: int = 4,
     most, size, heavy = max(range_bytes, total >> 15), first, {}
     at = lambda n: F.xxhash64(F.substring("t", 1, n))
     while True:
-        longer = data.where(F.length("t") >= size) if size > first else data
+        own = data
         if size > first:
             last = data.sparkSession.createDataFrame([(h,) for h in heavy[size // 2]], "_h long").coalesce(1)
-            longer = longer.join(F.broadcast(last), at(size // 2) == F.col("_h"), "left_semi")
-        found = longer.groupBy(at(size).alias("h")).agg(F.sum(F.length("t")).alias("n"), F.min(F.xxhash64("t")).alias("a"), F.max(F.xxhash64("t")).alias("b"))
-        heavy[size] = [r["h"] for r in found.where((F.col("n") > most // 8) & (F.col("a") != F.col("b"))).select("h").collect()]
-        if not heavy[size]:
-            return heavy, most, total
-        size *= 2
+            own = data.where(F.length("t") >= size).join(F.broadcast(last), at(size // 2) == F.col("_h"), "left_semi")
+        sizes = [size << k for k in range(_AT_ONCE)]
+        each = F.array(*[F.when((F.length("t") >= n) | F.lit(n == first), F.struct(F.lit(n).alias("size"), at(n).alias("h"))) for n in sizes])
+        cells = own.select(F.length("t").alias("n"), F.xxhash64("t").alias("x"), F.explode(F.array_compact(each)).alias("p"))
+        found = cells.groupBy("p").agg(F.sum("n").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).where((F.col("n") > most // 8) & (F.col("a") != F.col("b"))).select("p.*").collect()
+        for n in sizes:
+            heavy[n] = [r["h"] for r in found if r["size"] == n]
+            if not heavy[n]:
+                return heavy, most, total
+        size <<= _AT_ONCE
 
 
 def _prefix(text: bytes, heavy: dict[int, set[int]]) -> bytes:
