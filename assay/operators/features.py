@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions.portable import nan_to_null
+from assay.operators.median import medians
 from assay.operators.profile import kinds
 from assay.operators.rank import rank_by_text
 
@@ -81,18 +82,19 @@ def all_but_own(folds: list[int]) -> dict[int, list[int]]:
 
 
 def numeric_stats(df: DataFrame, columns: list[str], fold_col: str, trains: dict[int, list[int]] | None = None) -> DataFrame:
-    """fold, name, median, mean and std (population) of each fold's training rows, in one aggregate.
+    """fold, name, median, mean and std (population) of each fold's training rows.
 
-    trains: the values of fold_col that train for each fold; all but its own if not given.
+    trains: the values of fold_col that train for each fold; all but its own if not given. Means
+    come from one aggregate, medians from a few passes that all folds share (see `median.medians`).
     """
     trains = all_but_own(fold_values(df, fold_col)) if trains is None else trains
-    row, cells = [], []
+    found, row, cells = medians(df, columns, fold_col, trains), [], []
     for f, own in trains.items():
         train = F.col(fold_col).isin(own)
         for i, c in enumerate(columns):
             x = F.when(train, F.col(f"`{c}`").cast("double"))
-            row += [F.percentile(x, F.lit(0.5)).alias(f"median_{f}_{i}"), F.avg(x).alias(f"mean_{f}_{i}"), F.stddev_pop(x).alias(f"std_{f}_{i}")]
-            cells.append(F.struct(F.lit(f).alias("fold"), F.lit(c).alias("name"), *[F.col(f"{s}_{f}_{i}").alias(s) for s in ("median", "mean", "std")]))
+            row += [F.avg(x).alias(f"mean_{f}_{i}"), F.stddev_pop(x).alias(f"std_{f}_{i}")]
+            cells.append(F.struct(F.lit(f).alias("fold"), F.lit(c).alias("name"), F.lit(found.get((f, c))).cast("double").alias("median"), *[F.col(f"{s}_{f}_{i}").alias(s) for s in ("mean", "std")]))
     return df.agg(*row).select(F.inline(F.array(*cells)))
 
 
