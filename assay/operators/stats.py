@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.portable import text_hash, uniform
 from assay.functions.student import t_sf
 from assay.operators import metrics
-from assay.operators.rank import cuts_of, in_cuts, rank_by_hash
+from assay.operators.rank import rank_by_hash
+from assay.operators.resample import multinomial_scores, poisson_scores
 
 TIE = 0.05
 
@@ -51,35 +50,8 @@ def tie_group(df: DataFrame, best: str, p: str = "p_adjusted") -> DataFrame:
     return df.withColumn("tie", (F.col("candidate") == best) | (F.round(p, 4) >= TIE))
 
 
-#: Resamples that share one digest of a row: each takes 8 of its 32 hexadecimal digits.
-_SHARED = 4
-
-
-def _poisson(digits: Column, most: int = 12) -> Column:
-    """The Poisson(1) quantile of a number in [0, 1), given as 8 hexadecimal digits."""
-    total, term, out = 0.0, 0.36787944117144233, None
-    for k in range(most):
-        total += term
-        bound = math.ceil(total * 2**32)
-        if bound < 2**32:  # the number is below the bound if its digits are
-            less = digits < F.lit(f"{bound:08x}")
-            out = F.when(less, k) if out is None else out.when(less, k)
-            largest = k + 1
-        term /= k + 1
-    return out.otherwise(largest)
-
-
-def resample_poisson(preds: DataFrame, keys: list[str], n_boot: int, seed: int = 0) -> DataFrame:
-    """Predictions once for each resample they are in, with weight: a Poisson(1) number from the row's hash, alike for all models."""
-    each = preds.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // _SHARED))))
-    each = each.withColumn("_hash", text_hash(seed, "_block", *keys))
-    weights = F.array(*[_poisson(F.substring("_hash", 8 * k + 1, 8)) for k in range(_SHARED)])
-    each = each.select(*preds.columns, "_block", F.posexplode(weights).alias("_k", "weight")).where("weight > 0")
-    return each.withColumn("rep", F.col("_block") * _SHARED + F.col("_k")).where(F.col("rep") < n_boot).drop("_block", "_k")
-
-
 def resample_exact(preds: DataFrame, keys: list[str], n_boot: int, seed: int = 0) -> DataFrame:
-    """Predictions once for each time they are drawn: n of n rows with replacement, alike for all models. For small tables."""
+    """Predictions once for each time they are drawn: n of n rows with replacement, alike for all models. For small tables; `resample.multinomial_scores` is for large ones."""
     ranked = rank_by_hash(preds.select(*keys).distinct(), text_hash(seed, *keys), keys, name="_row")
     n = ranked.count()
     draws = ranked.sparkSession.range(n_boot * n).select(F.floor(F.col("id") / n).cast("int").alias("rep"), (F.col("id") % n).alias("slot"))
@@ -91,15 +63,12 @@ def resample_exact(preds: DataFrame, keys: list[str], n_boot: int, seed: int = 0
 def bootstrap(preds: DataFrame, metric: str, best: str, keys: list[str], n_boot: int = 2000, seed: int = 0, method: str = "poisson", classes: int = 2, bins: int = 1000) -> DataFrame:
     """model, score, ci_lo, ci_hi, diff, diff_lo, diff_hi: 95 % percentile intervals, paired over resamples.
 
-    diff is the model's score less the best's in the metric's own units; the best's is 0. Resamples
-    of a two-class roc_auc are scored on `bins` quantiles of the scores, so that what is shuffled for
-    a resample has a bound; up to as many rows that is exact.
+    diff is the model's score less the best's in the metric's own units; the best's is 0. Weights
+    are Poisson numbers, or with method "exact" draws of n of n rows (see `resample`). Resamples of
+    a roc_auc are scored on `bins` quantiles of the scores, over all classes together; up to as many
+    rows that is exact.
     """
-    source = preds
-    if metric == "roc_auc" and "probs" not in preds.columns:
-        source = in_cuts(preds, "score", cuts_of(preds, "score", bins, 100 * bins), "_bin").withColumn("score", F.col("_bin")).drop("_bin")
-    drawn = (resample_poisson if method == "poisson" else resample_exact)(source, keys, n_boot, seed)
-    scored = metrics.score(drawn, metric, ("rep", "model"), "weight", classes, source)
+    scored = (poisson_scores if method == "poisson" else multinomial_scores)(preds, metric, keys, n_boot, seed, classes, bins)
     full = metrics.score(preds, metric, ("model",), classes=classes)
     return intervals(scored, full, best)
 

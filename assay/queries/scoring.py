@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.portable import uniform
 from assay.functions.student import t_sf as t_sf_column
-from assay.operators import cv, metrics, select, stats
+from assay.operators import cv, metrics, resample, select, stats
 from assay.queries import query, table, uniform_sql
 from assay.session import cut
 
@@ -216,10 +216,16 @@ def bootstrap_exact(spark: SparkSession, d: str) -> DataFrame:
     return metrics.score(drawn, "rmse", ("rep", "model"), "weight").select(F.col("rep").cast("long").alias("rep"), "model", F.round("value", 4).alias("value"))
 
 
+@query()
+def bootstrap_multinomial(spark: SparkSession, d: str) -> DataFrame:
+    """200 resamples of n of n rows, drawn down a tree of buckets."""
+    return resample.multinomial_scores(regression(spark, d), "rmse", ["o_orderkey"], 200)
+
+
 @query(f"WITH {POISSON} SELECT rep, model, round(value, 4) AS value FROM reps")
 def bootstrap_poisson(spark: SparkSession, d: str) -> DataFrame:
-    drawn = stats.resample_poisson(regression(spark, d), ["o_orderkey"], REPS)
-    return metrics.score(drawn, "rmse", ("rep", "model"), "weight").select(F.col("rep").cast("long").alias("rep"), "model", F.round("value", 4).alias("value"))
+    scored = resample.poisson_scores(regression(spark, d), "rmse", ["o_orderkey"], REPS)
+    return scored.select(F.col("rep").cast("long").alias("rep"), "model", F.round("value", 4).alias("value"))
 
 
 INTERVALS = f"""{POISSON}, full_ AS (SELECT model, sqrt(avg((label - score) ** 2)) AS value FROM preds GROUP BY model),
