@@ -6,20 +6,22 @@ Their parameters are small, so that a run over the given tables takes seconds; a
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.portable import uniform
-from assay.operators import cv, split
+from assay.operators import boosting, cv, split
 from assay.operators.models import Spec
 from assay.plans import compare
 from assay.queries import query, table, uniform_sql
-from assay.session import shared_folder
+from assay.session import cut, shared_folder
 
 KEYS = ["c_custkey"]
-SMALLER = {"logreg": {"max_iter": 20}, "random_forest": {"n_estimators": 5, "max_depth": 4}, "gbt_leaf": {"n_estimators": 3, "num_leaves": 7}, "gbt_depth": {"n_estimators": 3, "max_depth": 3}, "mlp": {"hidden_layer_sizes": (8,), "max_iter": 15}, "ridge": {}}
+SMALLER = {"logreg": {"max_iter": 20}, "random_forest": {"n_estimators": 5, "max_depth": 4}, "gbt_leaf": {"n_estimators": 10, "num_leaves": 15}, "gbt_depth": {"n_estimators": 10, "max_depth": 4}, "mlp": {"hidden_layer_sizes": (32,), "max_iter": 30}, "ridge": {}}
 
 
 def customers(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +59,46 @@ _model("gbt_depth", "classification", "tier", "model_gbt_ovr")
 _model("mlp", "classification", "tier", "model_mlp_clf")
 
 
+@query("""WITH o AS (SELECT o_totalprice AS y, month(o_orderdate) AS month, year(o_orderdate) AS year, o_custkey % 100 AS part FROM orders),
+x AS (SELECT (SELECT avg(y) FROM o) - y AS g, unnest([0, 1, 2]) AS feature, unnest([month, year, part]) AS v FROM o),
+b AS (SELECT feature, v, sum(sum(g)) OVER w AS gl, sum(count(*)) OVER w AS hl, sum(sum(g)) OVER a AS g, sum(count(*)) OVER a AS h FROM x GROUP BY feature, v WINDOW w AS (PARTITION BY feature ORDER BY v), a AS (PARTITION BY feature)),
+s AS (SELECT *, gl * gl / (hl + 5) + (g - gl) * (g - gl) / (h - hl + 5) - g * g / (h + 5) AS gain FROM b WHERE hl < h)
+SELECT CAST(feature AS INT) AS feature, CAST(v AS DOUBLE) AS bound, round(gain / (SELECT sum(g * g) FROM x WHERE feature = 0), 8) AS gain, round(-gl / (hl + 5), 4) AS left_value, round(-(g - gl) / (h - hl + 5), 4) AS right_value FROM s ORDER BY s.gain DESC, feature, v LIMIT 1""")
+def boost_stump(spark: SparkSession, d: str) -> DataFrame:
+    """The first split of a boosted tree: of all features and bounds the one of largest gain, with L2 in gain and values."""
+    o = table(spark, d, "orders").select(F.col("o_totalprice").alias("label"), F.month("o_orderdate").alias("m"), F.year("o_orderdate").alias("y"), (F.col("o_custkey") % 100).alias("p"))
+    rows = VectorAssembler(inputCols=["m", "y", "p"], outputCol="features").transform(o)
+    model = boosting.Boosting("regression", 0, boosting.Params(n_estimators=1, learning_rate=1.0, num_leaves=2, reg_lambda=5.0)).fit(rows)
+    tree = model.rounds[0][0]
+    feature, bin_ = tree.feature[0], tree.bin[0]
+    spread = rows.agg(F.var_pop("label") * F.count("*")).first()[0]
+    found = [(feature, float(model.bounds[feature][bin_]), round(tree.gain[0] / spread, 8), round(tree.value[tree.left[0]], 4), round(tree.value[tree.right[0]], 4))]
+    return spark.createDataFrame(found, "feature int, bound double, gain double, left_value double, right_value double").coalesce(1)
+
+
+@query()
+def boost_softmax(spark: SparkSession, d: str) -> DataFrame:
+    """Log loss of the customers' tier after each round of three coupled trees; it falls."""
+    spec = Spec("softmax", "gbt_leaf", "classification", "tier", {"n_estimators": 12, "num_leaves": 8}, drop=("c_custkey",))
+    ready = cut(cv.prepare(_of("tier", spark, d), spec))
+    made, model, _ = cv.fit_whole(ready, spec)
+    rows = made.apply(ready)
+    outs = []
+    for k in range(1, len(model.rounds) + 1):
+        part = boosting.Booster(model.task, model.bounds, model.start, model.rounds[:k], model.n_features)
+        own = F.element_at("probs", F.col("label").cast("int") + 1)
+        outs.append(part.transform(rows).agg(F.avg(-F.log(own)).alias("log_loss")).select(F.lit(k).alias("round"), F.round("log_loss", 6).alias("log_loss")))
+    return reduce(DataFrame.unionByName, outs)
+
+
+@query()
+def model_mlp_reg(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' spend by a perceptron of the menu's defaults but for 30 epochs at most."""
+    spec = Spec("mlp", "mlp", "regression", "spend", {"max_iter": 30}, drop=("c_custkey",))
+    parted = split.split_holdout(_of("spend", spark, d), "spend", "regression", KEYS)
+    return cv.predict_holdout(parted.where("split = 'dev'").drop("split"), parted.where("split = 'hidden'").drop("split"), spec, KEYS)
+
+
 @query(f"""WITH f AS (SELECT o_orderkey, month(o_orderdate) + year(o_orderdate) * 12.0 - 23900 AS x, o_totalprice AS y, CAST(floor({uniform_sql("'ridge'", "CAST(o_orderkey AS VARCHAR)")} * 3) AS INT) AS fold FROM orders),
 k AS (SELECT DISTINCT fold FROM f)
 SELECT k.fold, round(regr_sxy(y, x) / (regr_sxx(y, x) + 10.0), 6) AS slope, round(avg(y) - regr_sxy(y, x) / (regr_sxx(y, x) + 10.0) * avg(x), 4) AS intercept FROM k JOIN f ON f.fold <> k.fold GROUP BY k.fold""")
