@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.session import cut
+
 
 def _ranked(df: DataFrame, by: list[str], bucket: list[str], order: list[Column], name: str) -> DataFrame:
     """Row numbers inside buckets, plus the rows in earlier buckets of the same group."""
@@ -32,9 +34,21 @@ def rank_by_hash(df: DataFrame, h: Column, keys: list[str], by: list[str] | None
     return _ranked(df, by, ["_b"], [F.col("_h"), *map(F.col, keys)], name).drop("_h")
 
 
+def in_text_ranges(df: DataFrame, value: str, by: list[str], name: str, each: int = 1 << 18) -> DataFrame:
+    """df with the number of the range that each text falls in, in order of `by` and the texts; equal ones share a range.
+
+    Ranges hold about equally many rows, `each` or fewer: Spark draws their ends from a sample of
+    the texts as they are, so that texts with a common beginning are told apart. The table is
+    written, for another run of the sample could draw other ends.
+    """
+    session = df.sparkSession
+    ranges = max(int(session.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / each))
+    return cut(df.repartitionByRange(ranges, *by, value).withColumn(name, F.spark_partition_id()))
+
+
 def rank_by_text(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
-    """Adds the 1-based rank of each text within groups `by`; buckets are the texts' first two characters."""
-    return _ranked(df.withColumn("_b", F.substring(value, 1, 2)), by, ["_b"], [F.col(value)], name)
+    """Adds the 1-based rank of each text within groups `by`; buckets are ranges of texts (see `in_text_ranges`)."""
+    return _ranked(in_text_ranges(df, value, by, "_b"), by, ["_b"], [F.col(value)], name)
 
 
 def _as_number(df: DataFrame, column: str) -> Column:
