@@ -69,6 +69,21 @@ def event_latest_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return events.latest_by_kind(_events(spark, d)).select("run_id", "kind", "n_events", "ts")
 
 
+@query(f"SELECT run_id, kind, count(*) AS n_events, max(ts) AS ts FROM ({_EVENTS}) GROUP BY run_id, kind")
+def event_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The live feed: a stream reads half of the log and ends; the rest comes with the last hours again and some late ones; a new stream goes on."""
+    log, (sink, state) = _events(spark, d), [f"{shared_folder(spark)}/{x}-{uuid.uuid4().hex}" for x in ("feed", "state")]
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    middle = log.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    events.append_event(log.where(F.col("ts") <= middle), path)
+    events.follow(spark, path, sink, state, late=7200.0, idle=1e9).awaitTermination()
+    again = log.where((F.col("ts") <= middle) & (F.col("ts") > middle - 3600))
+    late = log.where(F.col("ts") > middle).withColumns({"ts": F.lit(middle - 1e6), "payload": F.lit("late")})
+    events.append_event(log.where(F.col("ts") > middle).unionByName(again).unionByName(late), path)
+    events.follow(spark, path, sink, state, late=7200.0, idle=1e9).awaitTermination()
+    return events.followed(spark, sink).drop("payload")
+
+
 # --- filters: lineitem's discounts with every tenth by hash missing
 
 

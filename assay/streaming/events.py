@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "run_id string, ts double, kind string, payload string"
 
@@ -29,9 +34,63 @@ def latest_by_kind(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "kind").agg(F.count("*").alias("n_events"), F.max("ts").alias("ts"), F.max_by("payload", F.struct("ts", "payload")).alias("payload"))
 
 
-def follow(spark: SparkSession, path: str, name: str, checkpoint: str) -> DataFrame:
-    """latest_by_kind over what the log has so far, by a stream that ends when all is read."""
-    stream = latest_by_kind(spark.readStream.schema(SCHEMA).json(path))
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+FEED = "run_id string, kind string, n_events long, ts double, payload string, closed boolean"
+_STATE = "n_events long, ts double, payload string"
+
+
+def _kept(idle: float):
+    """Keeps count and latest event of a run's kind until no event has come for `idle` seconds of event time; then it says so and forgets them."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            n, ts, payload = state.get
+            state.remove()
+            yield pd.DataFrame([(*key, n, ts, payload, True)], columns=_NAMES)
+            return
+        n, ts, payload = state.get if state.exists else (0, None, None)
+        for rows in batches:
+            for t, p in zip(rows["ts"], rows["payload"]):
+                n += 1
+                if ts is None or (t, p) > (ts, payload):
+                    ts, payload = t, p
+        state.update((n, ts, payload))
+        state.setTimeoutTimestamp(max(int(1000 * (ts + idle)), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(*key, n, ts, payload, False)], columns=_NAMES)
+
+    return step
+
+
+_NAMES = [c.split()[0] for c in FEED.split(", ")]
+
+
+def feed(spark: SparkSession, path: str, late: float = 3600.0, idle: float = 86400.0) -> DataFrame:
+    """A stream of changes to the latest event of each run and kind, from the log at path.
+
+    Events without run, time, kind or payload go. Events that come again, or more than `late` seconds
+    of event time after the newest one, are dropped; what is remembered of them and of runs is
+    forgotten by the same clock (see `_kept`), so that state does not grow with the log.
+    """
+    log = spark.readStream.schema(SCHEMA).json(path).where("run_id is not null and ts is not null and kind is not null and payload is not null")
+    timed = log.withColumns({"at": F.timestamp_micros((F.col("ts") * 1000000).cast("long")), "id": F.xxhash64("run_id", "ts", "kind", "payload")})
+    once = timed.withWatermark("at", f"{late} seconds").dropDuplicates(["id", "at"])
+    return once.groupBy("run_id", "kind").applyInPandasWithState(_kept(idle), FEED, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def follow(spark: SparkSession, path: str, sink: str, checkpoint: str, **limits: float) -> StreamingQuery:
+    """Writes the changes of `feed` below sink, a folder for each micro-batch, until all that the log has is read.
+
+    Another run with the same checkpoint goes on where this one ended, or has died: a batch that is
+    run again replaces its folder.
+    """
+
+    def write(changes: DataFrame, batch: int) -> None:
+        changes.write.mode("overwrite").parquet(f"{sink}/batch={batch}")
+
+    return feed(spark, path, **limits).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def followed(spark: SparkSession, sink: str) -> DataFrame:
+    """The last change of each run and kind that a sink has, but for those closed."""
+    changes = spark.read.schema(f"{FEED}, batch long").parquet(sink)
+    last = changes.groupBy("run_id", "kind").agg(F.max_by(F.struct("n_events", "ts", "payload", "closed"), F.struct("batch", ~F.col("closed"))).alias("last"))
+    return last.select("run_id", "kind", "last.*").where("not closed").drop("closed")

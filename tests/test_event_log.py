@@ -11,3 +11,31 @@ def test_event_queries_write_and_read_the_log(spark, sf_dir, name, monkeypatch):
     monkeypatch.setattr(events, "replay", lambda s, path: (called.append(path), replay(s, path))[1])
     assert queries.QUERIES[name](spark, sf_dir).count() > 0
     assert len(called) == 2 and called[0] == called[1]
+
+
+def _run(spark, tmp_path, **limits):
+    events.follow(spark, str(tmp_path / "log"), str(tmp_path / "sink"), str(tmp_path / "state"), **limits).awaitTermination()
+    return {(r["run_id"], r["kind"]): (r["n_events"], r["ts"], r["payload"]) for r in events.followed(spark, str(tmp_path / "sink")).collect()}
+
+
+def _add(spark, tmp_path, rows):
+    events.append_event(spark.createDataFrame(rows, events.SCHEMA).coalesce(1), str(tmp_path / "log"))
+
+
+def test_feed_goes_on_after_a_restart(spark, tmp_path):
+    _add(spark, tmp_path, [("a", 1000.0, "x", "1"), ("a", 1500.0, "x", "2"), ("a", 1500.0, "x", "2"), ("b", 1400.0, "y", "3"), ("c", None, "y", "4"), (None, 1.0, "y", "4")])
+    assert _run(spark, tmp_path, late=600.0) == {("a", "x"): (2, 1500.0, "2"), ("b", "y"): (1, 1400.0, "3")}
+    # repeated, too late, late but in time, new
+    _add(spark, tmp_path, [("a", 1500.0, "x", "2"), ("a", 100.0, "x", "0"), ("a", 1200.0, "x", "1b"), ("b", 2000.0, "y", "5")])
+    assert _run(spark, tmp_path, late=600.0) == {("a", "x"): (3, 1500.0, "2"), ("b", "y"): (2, 2000.0, "5")}
+    assert _run(spark, tmp_path, late=600.0) == {("a", "x"): (3, 1500.0, "2"), ("b", "y"): (2, 2000.0, "5")}
+
+
+def test_feed_forgets_idle_runs(spark, tmp_path):
+    limits = {"late": 10.0, "idle": 100.0}
+    _add(spark, tmp_path, [("a", 1000.0, "x", "1"), ("b", 1000.0, "x", "1")])
+    assert _run(spark, tmp_path, **limits) == {("a", "x"): (1, 1000.0, "1"), ("b", "x"): (1, 1000.0, "1")}
+    _add(spark, tmp_path, [("b", 1090.0, "x", "2"), ("c", 5000.0, "x", "3")])
+    _run(spark, tmp_path, **limits)
+    _add(spark, tmp_path, [("c", 5001.0, "x", "4")])
+    assert _run(spark, tmp_path, **limits) == {("c", "x"): (2, 5001.0, "4")}

@@ -32,6 +32,7 @@ def test_events(spark, sf_dir, tmp_path):
     events.append_event(e.where("not ts % 2 < 1"), path)
     log = events.replay(spark, path)
     assert log.count() == n and [r["ts"] for r in log.limit(50).collect()] == sorted(r["ts"] for r in log.limit(50).collect())
-    streamed = events.follow(spark, path, "latest", str(tmp_path / "state"))
+    events.follow(spark, path, str(tmp_path / "sink"), str(tmp_path / "state"), late=1e9).awaitTermination()
+    streamed = events.followed(spark, str(tmp_path / "sink"))
     wanted = events.latest_by_kind(spark.read.schema(events.SCHEMA).json(path))
     assert streamed.exceptAll(wanted).count() == 0 and streamed.count() == wanted.count()
