@@ -26,6 +26,7 @@ from assay.operators.mlp import Network
 from assay.operators.models import MENU, TOGETHER, Spec, build_estimator, predictions, top_features
 from assay.operators.profile import kinds
 from assay.session import cut
+from assay.store import Store, fingerprint
 
 RESULT = "candidate string, repeat int, fold int, side string, metric string, value double"
 
@@ -244,13 +245,31 @@ def cv_summary(scores: DataFrame) -> DataFrame:
     return out.withColumn("folds", F.transform("folds", lambda x: x["value"]))
 
 
-def run_round(df: DataFrame, specs: list[Spec], threads: int = 6, in_time: bool = False) -> tuple[DataFrame, DataFrame]:
+def run_round(df: DataFrame, specs: list[Spec], threads: int = 6, in_time: bool = False, store: Store | None = None) -> tuple[DataFrame, DataFrame]:
     """Long scores of all candidates that worked; and name, model, ok, error, fit_seconds of each.
 
-    Candidates share the prepared rows and their statistics; a few are fitted at a time.
+    Candidates share the prepared rows and their statistics; a few are fitted at a time. With a
+    store, each candidate's scores are kept there as it ends, and those that are there for the same
+    rows and folds are not fitted again.
     """
     if len({s.name for s in specs}) < len(specs):
         raise ValueError("candidate names repeat")
+    spark = df.sparkSession
+    rows_hash = fingerprint(df) if store else None
+    keys = {s.name: store.key(s, rows_hash, in_time) if store else None for s in specs}
+    known: dict[str, tuple] = {}
+    for s in specs:
+        if store and store.has("scores", keys[s.name]):
+            found = store.table("scores", keys[s.name], lambda: df).collect()  # a row for each fold and metric
+            known[s.name] = [(s.name, *r[:-1]) for r in found], None, found[0]["fit_seconds"] if found else 0.0
+    every, specs = specs, [s for s in specs if s.name not in known]
+
+    def keep(s: Spec, result: tuple) -> tuple:
+        if store and not result[1]:
+            rows = [(*r[1:], result[2]) for r in result[0]]
+            store.table("scores", keys[s.name], lambda: spark.createDataFrame(rows, RESULT.partition(", ")[2] + ", fit_seconds double").coalesce(1))
+        return result
+
     shared: dict[tuple, Folds] = {}
     for s in specs:
         if (s.task, s.target, s.drop) not in shared:
@@ -267,7 +286,7 @@ def run_round(df: DataFrame, specs: list[Spec], threads: int = 6, in_time: bool
         mine = [x for s, x in zip(owners, fits) if s is spec]
         wrong = next((e for _, e, _ in mine if e), None)
         rows, wrong, took = (None, wrong, 0.0) if wrong else tried(lambda: of(spec).scores(spec, [x for part, _, _ in mine for x in part]))
-        return rows or [], wrong, took + sum(t for _, _, t in mine)
+        return keep(spec, (rows or [], wrong, took + sum(t for _, _, t in mine)))
 
     of = lambda s: shared[s.task, s.target, s.drop]
     alike: dict[tuple, list[Spec]] = {}
@@ -281,10 +300,9 @@ def run_round(df: DataFrame, specs: list[Spec], threads: int = 6, in_time: bool
         fits = list(pool.map(lambda s, job: tried(lambda: of(s).scored(s, job)), owners, parts))
         ends = {s.name: x for s, x in zip(rest, pool.map(ended, rest))}
         for own, (rows, wrong, took) in ridges:
-            ends |= {s.name: ((rows or {}).get(s.name, []), wrong, took / len(own)) for s in own}
-    done = [ends[s.name] for s in specs]
-    spark = df.sparkSession
-    status = [(s.name, s.model, e is None, e, t) for s, (_, e, t) in zip(specs, done)]
+            ends |= {s.name: keep(s, ((rows or {}).get(s.name, []), wrong, took / len(own))) for s in own}
+    done = [(known | ends)[s.name] for s in every]
+    status = [(s.name, s.model, e is None, e, t) for s, (_, e, t) in zip(every, done)]
     # a row for each candidate, fold and metric
     return spark.createDataFrame([r for rows, _, _ in done for r in rows], RESULT).coalesce(1), spark.createDataFrame(status, "candidate string, model string, ok boolean, error string, fit_seconds double").coalesce(1)
 

@@ -16,6 +16,7 @@ from assay.operators import cv, profile, select, split, stats
 from assay.operators.filters import drop_missing_target, require_columns
 from assay.operators.models import MENU, Spec, portfolio
 from assay.session import cut
+from assay.store import Store, fingerprint
 from assay.streaming.events import SCHEMA, append_event
 
 MAX_ROUNDS, MAX_CANDIDATES = 3, 8
@@ -68,16 +69,19 @@ def check_round(specs: list[Spec], earlier: list[str], number: int) -> list[Spec
     return out
 
 
-def compare_models(df: DataFrame, target: str, keys: list[str], order_col: str | None = None, task: str | None = None, specs=None, later=(), folds: int = 5, confirm_folds: int = 2, confirm_repeats: int = 5, n_boot: int = 2000, threads: int = 6, model_path: str | None = None, log_path: str | None = None) -> Comparison:
+def compare_models(df: DataFrame, target: str, keys: list[str], order_col: str | None = None, task: str | None = None, specs=None, later=(), folds: int = 5, confirm_folds: int = 2, confirm_repeats: int = 5, n_boot: int = 2000, threads: int = 6, model_path: str | None = None, log_path: str | None = None, store_path: str | None = None) -> Comparison:
     """Compares candidates on 80 % of the rows and scores the finalists once on the rest.
 
     specs: a function of task, target and dropped columns; the portfolio if None. later: for each
     further round, two at most, a function of the results so far (a DataFrame), task, target and
     dropped columns that gives its candidates, eight at most. Scores are by roc_auc or rmse. Rows without target are left out; keys make splits and folds independent of
     how the table is partitioned. The winner is fitted on all rows, and saved to model_path; the
-    run's events are appended to the log at log_path.
+    run's events are appended to the log at log_path. Scores and hidden predictions are kept at
+    store_path by a hash of rows, folds and candidate: a run that has died is run again with the
+    same arguments and fits what is absent.
     """
     run_id, log = uuid.uuid4().hex[:12], []
+    store = Store(df.sparkSession, store_path) if store_path else None
 
     def emit(kind: str, **payload) -> None:
         log.append((run_id, time.time(), kind, json.dumps(payload, default=str)))
@@ -105,7 +109,7 @@ def compare_models(df: DataFrame, target: str, keys: list[str], order_col: str |
         proposed = check_round(proposed, [c.name for c in candidates], number)
         candidates += proposed
         emit("round_start", round=number, candidates=[c.name for c in proposed], dropped=dropped)
-        new, status = cv.run_round(in_folds, proposed, threads, bool(time_col))
+        new, status = cv.run_round(in_folds, proposed, threads, bool(time_col), store)
         found_now = status.join(cv.cv_summary(new.where(F.col("metric") == metric)).drop("metric"), "candidate", "left")
         found_now = select.flag_suspicious(select.overfit_gap(found_now, metric), metric)
         scores = new if scores is None else scores.unionByName(new)
@@ -116,16 +120,28 @@ def compare_models(df: DataFrame, target: str, keys: list[str], order_col: str |
     if not names:
         raise RuntimeError("no candidate worked: " + "; ".join(f"{r['candidate']}: {r['error']}" for r in results.collect()))
     chosen = [s for s in candidates if s.name in names]
-    again, _ = cv.run_round(cut(folded(confirm_folds, confirm_repeats, split.SEED + 1)), chosen, threads, bool(time_col))
+    again, _ = cv.run_round(cut(folded(confirm_folds, confirm_repeats, split.SEED + 1)), chosen, threads, bool(time_col), store)
     better = again.where((F.col("side") == "test") & (F.col("metric") == metric)).select("candidate", "repeat", "fold", select.signed(metric, F.col("value")).alias("value"))
     best = better.groupBy("candidate").agg(F.avg("value").alias("v")).orderBy(F.desc("v"), "candidate").first()["candidate"]
     ratio = stats.train_ratio(confirm_folds, bool(time_col))
     tests = stats.tie_group(stats.holm(stats.corrected_t(better, best, ratio).withColumn("_run", F.lit(0)), ["_run"]).drop("_run"), best)
     emit("confirm", best=best, folds=confirm_folds, repeats=confirm_repeats)
 
+    rows_hash = fingerprint(parted) if store else None
+
     def predicted(s: Spec) -> tuple[DataFrame, float]:
-        p = cv.predict_holdout(dev, hidden, s, keys)
-        return cut(p), cv.predict_cost(p)
+        if not store:
+            p = cv.predict_holdout(dev, hidden, s, keys)
+            return cut(p), cv.predict_cost(p)
+        p, key = None, store.key(s, rows_hash, keys)
+
+        def costed() -> DataFrame:
+            return df.sparkSession.createDataFrame([(cv.predict_cost(p),)], "ms double").coalesce(1)
+
+        if not (store.has("predictions", key) and store.has("costs", key)):
+            p = cv.predict_holdout(dev, hidden, s, keys)
+        kept, costs = store.table("predictions", key, lambda: p), store.table("costs", key, costed)
+        return kept.withColumn("model", F.lit(s.name)), costs.first()["ms"]
 
     with ThreadPoolExecutor(threads) as pool:
         each = list(pool.map(predicted, chosen))
