@@ -87,7 +87,7 @@ def _judged(heavy: dict[int, list[int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.pieces(batch, "text", 8 << 20):
+            for piece in T.pieces(batch, "text", 2 << 20):
                 texts, ids = T.as_bytes(piece.column("text")), piece.column("doc_id").to_pylist()
                 masks, least = _masks(texts), {}
                 for t, i in zip(texts, ids):
