@@ -189,7 +189,7 @@ def with_outputs(df: DataFrame, outputs, task: str) -> DataFrame:
     """df with prediction, or probs, of its features, by Arrow batches."""
     @pandas_udf("array<double>")
     def scored(a: pd.Series) -> pd.Series:
-        return pd.Series(list(outputs(np.stack(a.to_numpy()) if len(a) else np.zeros((0, 0)))))
+        return pd.Series(list(outputs(np.stack(a.to_numpy())))) if len(a) else pd.Series([], dtype=object)
 
     out = df.withColumn("probs", scored(vector_to_array("features")))
     return out.withColumn("prediction", F.col("probs")[0]).drop("probs") if task == "regression" else out

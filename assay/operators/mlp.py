@@ -142,8 +142,6 @@ class Network:
         self.task, self.sizes, self.w, self.shift, self.scale, self.scores = task, sizes, w, shift, scale, scores or []
 
     def outputs(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.zeros((0, 1))
         out = outputs_of(forward(unpack(self.w, self.sizes), x)[-1], self.task)
         return out * self.scale + self.shift if self.task == "regression" else out
 

@@ -129,6 +129,7 @@ def test_constant_features_and_labels(spark):
     df = spark.createDataFrame([(Vectors.dense([1.0]), 2.0)] * 5, ["features", "label"])
     model = Boosting("regression", 0, Params(n_estimators=3)).fit(df)
     assert model.outputs(np.array([[7.0]])).tolist() == [[2.0]]
+    assert model.transform(df.limit(0)).count() == 0 and [r["prediction"] for r in model.transform(df).collect()] == [2.0] * 5
 
 
 def test_on_the_given_frames(spark):
