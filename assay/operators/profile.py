@@ -1,19 +1,20 @@
 """What a table's columns hold: counts, balance, correlation with the target, and flags.
 
-All columns are profiled in a few jobs whatever their number: one wide aggregate, one grouping of
-(column, value, class) and one of whole rows.
+All columns are profiled in a few jobs whatever their number: one wide aggregate, summaries of
+frequent values, one grouping of (column, value, class) of columns with few values and one of whole rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions.portable import nan_to_null, pearson, skew
 from assay.operators.filters import require_columns
+from assay.operators.frequent import Frequent
 
 LEAK_CORRELATION, LEAK_PURITY, LEAK_GAIN = 0.95, 0.98, 0.05
 MOST_LEVELS, ID_SHARE, MOSTLY = 50, 0.95, 40.0
@@ -131,17 +132,25 @@ def _levels(df: DataFrame, target: str) -> DataFrame:
     return df.select(F.col(target).cast("string").alias("class"), F.inline(cells)).where("value is not null").groupBy("name", "value", "class").agg(F.count("*").alias("n"))
 
 
-def top_values(df: DataFrame, target: str, top: int = 3) -> DataFrame:
+def frequent(df: DataFrame, target: str) -> Frequent:
+    """Summaries of the values of categorical and boolean columns."""
+    return Frequent(df, [c for c, k in kinds(df, target).items() if k in ("categorical", "boolean")])
+
+
+def top_values(df: DataFrame, target: str, top: int = 3, found: Frequent | None = None) -> DataFrame:
     """name, value, n and place of the most frequent values of each categorical or boolean column; ties by value."""
-    counts = _levels(df, target).groupBy("name", "value").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("n"), "value"))
-    return counts.withColumn("place", place).where(F.col("place") <= top)
+    return (found or frequent(df, target)).top(top)
 
 
-def target_purity(df: DataFrame, target: str, levels: tuple[int, int] = (2, MOST_LEVELS)) -> DataFrame:
-    """name and target_purity: share of rows in the largest class of their value; columns with 2 to 50 values."""
-    known = _levels(df, target).where("class is not null")
-    all_levels = _levels(df, target).select("name", "value").distinct().groupBy("name").agg(F.count("*").alias("n_levels"))
+def target_purity(df: DataFrame, target: str, levels: tuple[int, int] = (2, MOST_LEVELS), found: Frequent | None = None) -> DataFrame:
+    """name and target_purity: share of rows in the largest class of their value; columns with 2 to 50 values.
+
+    Columns of more values are known from the summaries and not read again.
+    """
+    few = (found or frequent(df, target)).few(levels[1])
+    cells = _levels(df.select(*[F.col(f"`{c}`") for c in (target, *few)]), target)
+    known = cells.where("class is not null")
+    all_levels = cells.select("name", "value").distinct().groupBy("name").agg(F.count("*").alias("n_levels"))
     each = known.groupBy("name", "value").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
     return each.groupBy("name").agg((F.sum("best") / F.sum("n")).alias("target_purity")).join(all_levels, "name").where(F.col("n_levels").between(*levels)).select("name", F.round("target_purity", 6).alias("target_purity"))
 
@@ -154,10 +163,11 @@ def column_profile(df: DataFrame, target: str, task: str, approx: bool = False)
     types = {f.name: f.dataType for f in df.schema}
     base = spark.createDataFrame([(i, c, k, isinstance(types[c], T.IntegralType)) for i, (c, k) in enumerate(kinds(df, target).items())], "position int, name string, kind string, integral boolean")
     features = df.drop(target)
-    tops = top_values(df, target).groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value", "n"))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top_values"))
+    summed = frequent(df, target)
+    tops = top_values(df, target, found=summed).groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value", "n"))), lambda x: F.struct(x["value"].alias("value"), x["n"].alias("n"))).alias("top_values"))
     parts = [missing(features), distinct(features, approx), numeric(features), correlation(df, target, task), tops]
     if task == "classification":
-        parts.append(target_purity(df, target))
+        parts.append(target_purity(df, target, found=summed))
         majority = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("m"))
     # each part has a row for each column
     wide = reduce(lambda a, b: a.join(F.broadcast(b), "name", "left"), parts, base)

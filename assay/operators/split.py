@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from assay.functions.portable import text_hash
 from assay.operators.rank import cuts_of, in_cuts, rank_by_hash, rank_by_value
+from assay.session import cut
 
 SEED = 42
 
@@ -153,10 +154,35 @@ def assign_folds(df: DataFrame, k: int, keys: list[str], repeats: int = 1, strat
     return repeated(df, repeats, lambda d, r: fold_kfold(d, k, keys, seed, r, n))
 
 
+#: Words of 64 bits in a bitmap of hashes, so that it has 16 MB at most whatever the rows.
+WORDS = 1 << 21
+
+
+def possible_matches(df: DataFrame, other: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of df whose columns may equal those of some row of other: all that do, and few more.
+
+    The bitmap of other's hashes is a grouped OR, broadcast by words that have a bit. Of rows without a
+    match a share of (distinct rows of other / 2^27) passes, so that beyond 2^27 rows it holds little back.
+    """
+    place = F.xxhash64(*[F.col(f"`{c}`") for c in columns]) if columns else F.lit(0).cast("long")
+    word, bit = (F.shiftrightunsigned(place, 6) % WORDS).alias("_word"), F.expr("shiftleft(1L, cast(_place & 63 as int))")
+    bitmap = other.select(place.alias("_place"), word).groupBy("_word").agg(F.bit_or(bit).alias("_bits"))
+    # WORDS rows at most
+    tested = df.withColumns({"_place": place, "_word": word}).join(F.broadcast(bitmap), "_word")
+    return tested.where(F.col("_bits").bitwiseAND(bit) != 0).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def cross_split_duplicates(dev: DataFrame, hidden: DataFrame, target: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of hidden whose features all equal those of some dev row; missing equals missing."""
+    """Rows of hidden whose features all equal those of some dev row; missing equals missing.
+
+    Only rows that may have a match are shuffled: dev is held against a bitmap of hidden's hashes,
+    and hidden against one of what is left of dev. The join that follows compares the features.
+    """
     features = [c for c in dev.columns if c != target and c not in exclude]
-    known = dev.select(*features).distinct().alias("d")
+    columns = [F.col(f"`{c}`") for c in features]
+    known = cut(possible_matches(dev.select(*columns), hidden, features).distinct())
+    hidden = possible_matches(hidden, known, features)
+    known = known.alias("d")
     return hidden.alias("h").join(known, [F.col(f"h.`{c}`").eqNullSafe(F.col(f"d.`{c}`")) for c in features], "left_semi")
 
 

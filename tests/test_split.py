@@ -78,3 +78,21 @@ def test_guess_task(spark):
     rows = spark.createDataFrame([(i, i % 3, float(i), "x", None if i == 4 else 1) for i in range(50)], "wide int, few int, real double, text string, holes int")
     got = {c: split.guess_task(rows, c).first()["task"] for c in rows.columns}
     assert got == {"wide": "regression", "few": "classification", "real": "regression", "text": "classification", "holes": "regression"}
+
+
+def test_rows_without_a_possible_match_are_held_back(spark):
+    df = spark.range(20000).select((F.col("id") % 5000).alias("a.b"), F.when(F.col("id") % 7 > 0, F.col("id") % 11 / 10).alias("x"), F.col("id").alias("y"))
+    few = spark.createDataFrame([(3, 0.3, 1), (-9, 0.0, 2), (0, None, 3), (0, -0.0, 4)], "`a.b` long, x double, y long")
+    passed = split.possible_matches(df, few, ["a.b", "x"])
+    assert passed.columns == df.columns and passed.count() < 20
+    got = {r["y"] for r in split.cross_split_duplicates(df, few, "y").collect()}
+    pairs = {(r["a.b"], r["x"]) for r in df.collect()}
+    assert got == {y for a, x, y in [(3, 0.3, 1), (-9, 0.0, 2), (0, None, 3), (0, 0.0, 4)] if (a, x) in pairs}
+
+
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_not_a_number_and_signed_zeros_match(spark, kind):
+    df = spark.createDataFrame([(float("nan"), "a"), (0.0, "b"), (None, "c")], f"x {kind}, y string")
+    other = spark.createDataFrame([(float("nan"), "d"), (-0.0, "e"), (None, "f")], f"x {kind}, y string")
+    assert split.cross_split_duplicates(df, other, "y").count() == 3
+    assert split.cross_split_duplicates(df.limit(0), other, "y").count() == 0
