@@ -2,8 +2,10 @@
 
 The lexer reads source and configuration syntax into name-literal pairs (`name = "x"`,
 `"name": 'x'`, `name := x`, `name: str = x`, `<name>x</name>`, `setName("x")`, `put("name", "x")`,
-block scalars, triple and prefixed strings, fields in strings, strings and names joined by `+`),
-follows names back to their literals wherever these stand in the text, and scores each literal by
+block scalars, triple and prefixed strings, fields in strings, strings and names joined by `+`;
+`#define NAME "x"`, `--name x`, `a, b = "x", "y"`, defaults and alternatives as in
+`getenv("X", "x")`, `v or "x"`, `c ? "x" : "y"`, and entries of a name and a value as in
+`name: N, value: x`), takes passwords of URLs and credentials of Authorization headers, follows names back to their literals wherever these stand in the text, and scores each literal by
 how sensitive the name is that it reaches and by the look of the whole value.
 """
 
@@ -27,7 +29,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile("AKIA[A-Z0-9]{12,}")
 HEX = re.compile("[0-9a-f]{32,}")
 #: How sensitive a part of a name is.
-PARTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "private": 0.6, "bearer": 0.8, "key": 0.4}
+PARTS = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "pass": 0.7, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "private": 0.6, "bearer": 0.8, "authorization": 0.9, "key": 0.4}
+#: Names that end so tell something about a secret and hold none.
+ABOUT = {"hint", "santa", "policy", "length", "len", "size", "field", "label", "file", "path", "dir", "url", "uri", "endpoint", "type", "count", "prompt", "placeholder", "message", "msg", "error", "expiry", "expires", "ttl", "limit", "regex", "pattern", "format", "algorithm", "question"}
+#: Words of sentences; a passphrase has none.
+_SENTENCE = {"a", "an", "the", "is", "are", "be", "must", "of", "for", "to", "at", "in", "your", "you", "not", "no", "and", "or", "with", "please", "enter", "this", "that"}
 _HINTS = tuple(p.encode() for p in ("pass", "pwd", "secret", "token", "apikey", "credential", "auth", "private", "bearer", "key"))
 _IDENTIFIER = r"[A-Za-z_$][\w$.]*+"
 _GAP = r"[\x20\t]*+(?:\\?\r?\n[\x20\t]*+)?"
@@ -35,13 +41,28 @@ _QUOTED = "|".join([r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*+"""', r"'''(?:[^'\\]|\\[\s
 _STRING = rf"(?:[rRbBuUfF]{{1,2}}|[@$]{{1,2}})?(?:{_QUOTED})"
 #: Strings joined by + or by standing side by side, and names among them.
 _JOINED = rf"""(?:{_IDENTIFIER}{_GAP}\+{_GAP})*+{_STRING}(?:{_GAP}\+{_GAP}(?:{_STRING}|{_IDENTIFIER})|[\x20\t]+(?=["']){_STRING})*+"""
-_TYPE = r"[A-Za-z_][\w.]*+(?:\[[\w.,|\x20]*+\])?(?:[\x20\t]*\|[\x20\t]*\w++)*+"
-_ASSIGNED = rf"""(?:["'`]?\]?|["'])[\x20\t]*(?::[\x20\t]*{_TYPE}[\x20\t]+=(?=[\x20\t])|:=|=>|=(?![=~>])|:(?!:))[\x20\t]*(?:/\*[^*/\n]*+\*/[\x20\t]*)?"""
+_PLAIN = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
+_COMMENT = r"(?:/\*[^*/\n]*+\*/[\x20\t]*)?"
+_TYPE = r"&?(?:'\w+[\x20\t]+)?[A-Za-z_][\w.]*+(?:\[[\w.,|\x20]*+\])?(?:[\x20\t]*\|[\x20\t]*\w++)*+"
+_ASSIGNED = rf"""(?:["'`]?\]?|["'])[\x20\t]*{_COMMENT}(?::[\x20\t]*{_TYPE}[\x20\t]+=(?=[\x20\t])|:=|=>|->|=(?![=~>])|:(?!:))[\x20\t]*{_COMMENT}(?:[(\[][\x20\t]*(?=["']))?"""
 PAIR = re.compile(
     rf"""(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]*+)(?:{_ASSIGNED}(?:(?P<joined>{_JOINED})|(?P<block>[|>][-+0-9]{{0,2}})[\x20\t]*\r?\n|(?P<bare>[^\s"'`,;\#(){{}}\[\]<>]+))"""
-    rf"""|\([\x20\t]*(?:["'](?P<key>[\w$.-]++)["'][\x20\t]*,[\x20\t]*)?(?P<passed>{_JOINED})[\x20\t]*[),])|<(?P<tag>[A-Za-z_][\w.-]*)>(?P<inner>[^<>\n]+)</(?P=tag)>""",
+    rf"""|[\x20\t]+(?P<spaced>{_PLAIN})|\([\x20\t]*(?:["'](?P<key>[\w$.-]++)["'][\x20\t]*,[\x20\t]*)?(?P<passed>{_JOINED})[\x20\t]*[),])|<(?P<tag>[A-Za-z_][\w.-]*)>(?P<inner>[^<>\n]+)</(?P=tag)>"""
+    rf"""|(?<![^\s"'\[,])--?(?P<flag>[A-Za-z][\w-]*+)(?:=|[\x20\t]++)(?:(?P<quoted>{_PLAIN})|(?P<word>[^\s"'`;,]+))""",
     re.A,
 )
+#: Several names that take several strings, from a line's first name on.
+_TUPLE = re.compile(rf"""^[\x20\t]*+(?:(?:let|const|var|my|local)[\x20\t]++)?\(?(?P<names>{_IDENTIFIER}(?:[\x20\t]*+,[\x20\t]*+{_IDENTIFIER})++)\)?[\x20\t]*+:?=[\x20\t]*+\(?(?P<values>{_PLAIN}(?:[\x20\t]*+,[\x20\t]*+{_PLAIN})++)""", re.A | re.M)
+#: Strings that a name may take instead of the value before them.
+_OTHERWISE = re.compile(
+    rf"""(?:\belse|\bor|\?\?|\|\|)[\x20\t]*+(?P<a>{_PLAIN})|\?[\x20\t]*+(?P<b>{_PLAIN})[\x20\t]*+:[\x20\t]*+(?P<c>{_PLAIN})"""
+    rf"""|(?:getenv|env|get|getProperty|getOrDefault|fetch|config)\([\x20\t]*+{_PLAIN}[\x20\t]*+,[\x20\t]*+(?P<d>{_PLAIN})|\bunwrap_or\((?P<e>{_PLAIN})""",
+    re.A,
+)
+_LINE_END = re.compile(r"[\n;]|\Z")
+_ENTRY = re.compile(rf"""["']?\b(?:key|name)["']?[\x20\t]*+[:=][\x20\t]*+["']?(?P<name>[A-Za-z_][\w.-]*+)["']?[\s,]*+["']?value["']?[\x20\t]*+[:=][\x20\t]*+(?:(?P<quoted>{_PLAIN})|(?P<word>[^\s"'`;,<>{{}}]+))""", re.A)
+_URL = re.compile(r"""://[^\s:/@"'<>]*+:(?P<word>[^\s/@"'<>]++)@""")
+_HEADER = re.compile(r"""\b(?P<name>Authorization)["']?[\x20\t]*+[:=,][\x20\t]*+["']?(?:Bearer|Basic|Token)\x20++(?P<word>[\w+/=.~-]{6,})""", re.I | re.A)
 _TERM = re.compile(rf"(?P<string>{_STRING})|(?P<name>{_IDENTIFIER})", re.A)
 _NAMED = re.compile(r"\$\{([A-Za-z_]\w*)\}", re.A)
 _FIELD = re.compile(r"\$?\{([A-Za-z_][\w.]*+)[^{}\n]*+\}", re.A)
@@ -56,7 +77,7 @@ def name_score(name: str) -> float:
     """How sensitive a name is: its most sensitive part, of two that make a pair (api key, private key) their sum."""
     parts = [p.lower() for p in _WORD.findall(name.rpartition(".")[2] or name)]
     found = [PARTS[p] for p in parts if p in PARTS]
-    if not found:
+    if not found or next(p for p in reversed(parts) if not p.isdigit()) in ABOUT:
         return 0.0
     if "key" in parts and {"api", "access", "private", "secret", "signing", "encryption", "auth"} & set(parts):
         return 1.0
@@ -72,6 +93,17 @@ def _plausible(value: str) -> bool:
     return bool(value) and not _DUMMY.search(value) and not any(c.isspace() for c in value)
 
 
+def _passphrase(name: str, value: str) -> bool:
+    """Is it four or more words, none of a sentence, under the name of a password?"""
+    words = value.split()
+    return len(words) >= 4 and name_score(name) >= 0.7 and all(w.replace("-", "").isalnum() for w in words) and not _SENTENCE & {w.lower() for w in words} and not _DUMMY.search(value)
+
+
+def _telling(word: str) -> bool:
+    """Is a bare word after a flag a value, and not the next word of a sentence, a path or a variable?"""
+    return word[0].isalnum() and (any(c.isdigit() for c in word) or not word.isalnum()) and not word.startswith(("http:", "https:"))
+
+
 def _spread(counts: Counter) -> float:
     n = sum(counts.values())
     if n < 6:
@@ -92,7 +124,7 @@ class _Pair:
         """The literal at t[a:b], without white space around it."""
         value = t[a:b]
         a += len(value) - len(value.lstrip())
-        if _plausible(value.strip()):
+        if _plausible(value.strip()) or _passphrase(self.name, value):
             self.spans.append((a, a + len(value.strip())))
 
     def take_string(self, t: str, a: int, b: int) -> None:
@@ -131,12 +163,54 @@ def _block(t: str, key: int, at: int) -> tuple[list[tuple[int, int]], int]:
     return lines, at
 
 
+def _apart(t: str) -> list[_Pair]:
+    """Pairs whose name and value do not stand on two sides of one sign: entries, URLs and headers."""
+    pairs = []
+    for pattern in (_ENTRY, _HEADER, _URL):
+        for m in pattern.finditer(t):
+            groups = m.groupdict()
+            pair = _Pair(groups.get("name") or "password")
+            if groups.get("quoted"):
+                pair.take_string(t, *m.span("quoted"))
+            elif groups["word"].lower() not in PARTS:
+                pair.take(t, *m.span("word"))
+            pairs.append(pair)
+    return pairs
+
+
 def _pairs(t: str) -> list[_Pair]:
     """All pairs in order. A name in a value means its last pair before, or else its first one after."""
     pairs, last, first, later = [], {}, {}, []
-    at = 0
+    several = {}  # by the start of the last name
+    for m in _TUPLE.finditer(t):
+        names = list(re.finditer(_IDENTIFIER, m["names"], re.A))
+        several[m.start("names") + names[-1].start()] = (m, [n[0] for n in names])
+    at = looked = line_end = 0
     while m := PAIR.search(t, at):
-        at, name, bare = m.end(), m["name"] or m["tag"], m["bare"]
+        at, name, bare = m.end(), m["name"] or m["tag"] or m["flag"], m["bare"]
+        if m["name"] and m.start("name") in several:
+            whole, names = several[m.start("name")]
+            at, begin = whole.end(), whole.start("values")
+            for name, v in zip(names, re.finditer(_PLAIN, whole["values"])):
+                pairs.append(pair := _Pair(name))
+                pair.take_string(t, begin + v.start(), begin + v.end())
+                last[name] = pair
+                first.setdefault(name, pair)
+            continue
+        if m["flag"] or m["spaced"]:
+            if name_score(name) < 0.7:
+                at = m.end("flag") if m["flag"] else m.end("name")
+                continue
+            pairs.append(pair := _Pair(name))
+            if m["word"]:
+                if _telling(m["word"]):
+                    pair.take(t, *m.span("word"))
+            else:
+                pair.take_string(t, *m.span("quoted" if m["flag"] else "spaced"))
+            if m["spaced"]:
+                last[name] = pair
+                first.setdefault(name, pair)
+            continue
         if m["passed"]:
             called = name.rpartition(".")[2]
             words = [w.lower() for w in _WORD.findall(called)]
@@ -160,12 +234,23 @@ def _pairs(t: str) -> list[_Pair]:
             pair.names.append(bare.strip("${}") if bare.startswith("${") else bare)
         else:
             pair.take(t, *m.span("bare"))
+        others = False
+        if (bare or m["joined"]) and name_score(name):
+            # the rest of a line is looked at once, for its first sensitive name
+            if line_end < at:
+                line_end = _LINE_END.search(t, at).start()
+            for o in _OTHERWISE.finditer(t, max(looked, m.start("bare" if bare else "joined")), line_end):
+                others = True
+                for g in "abcde":
+                    if o[g]:
+                        pair.take_string(t, *o.span(g))
+            looked = max(looked, line_end)
         missing = []
         for n in dict.fromkeys(pair.names):
             pair.uses.append(last[n]) if n in last else missing.append(n)
         if missing:
-            # a call or an element is no value of its own
-            own = m.span("bare") if bare and not bare.startswith("${") and t[m.end() : m.end() + 1] not in ("(", "[") else None
+            # a call, an element or a name beside a string is no value of its own
+            own = m.span("bare") if bare and not others and not bare.startswith("${") and t[m.end() : m.end() + 1] not in ("(", "[") else None
             later.append((pair, missing, own))
         pairs.append(pair)
         if not m["passed"]:
@@ -176,7 +261,7 @@ def _pairs(t: str) -> list[_Pair]:
         pair.uses += found
         if own and not found:
             pair.take(t, *own)
-    return pairs
+    return pairs + _apart(t)
 
 
 def lexed(t: str, threshold: float = 0.5) -> list[tuple[int, int, float, str]]:
@@ -213,7 +298,7 @@ def lexed(t: str, threshold: float = 0.5) -> list[tuple[int, int, float, str]]:
 def secrets(raw: bytes, threshold: float = 0.5) -> list[dict]:
     """Spans in code points, by start and then kind."""
     low, found, t = raw.lower(), [], None
-    hint = any(h in low for h in _HINTS)
+    hint = any(h in low for h in _HINTS) or (b"://" in low and b"@" in low)
     if hint:
         t = raw.decode()
         found = [("assign", *m.span(), 1.0, m[1]) for m in ASSIGN.finditer(t) if len(m[2]) >= 8]

@@ -1,3 +1,5 @@
+import random
+import string
 import time
 
 import pytest
@@ -53,9 +55,72 @@ def test_a_literal_scores_by_the_most_sensitive_name_that_it_reaches():
 
 @pytest.mark.parametrize(
     "piece",
-    ["pwd" + "a" * 50, "<pwd>" + "a" * 50, "pwd ", "<pwd>aaa</pw", 'x_pwd = x_pwd + "ab"\n', 'pwd="""', "pwd = /* ", "pwd: |\n  pwd: |\n", "pwd: a[", "pwd=b+", 'pwd=f"{', 'pwd="a"  ', "a=pwd;pwd=a;"],
+    ["pwd" + "a" * 50, "<pwd>" + "a" * 50, "pwd ", "<pwd>aaa</pw", 'x_pwd = x_pwd + "ab"\n', 'pwd="""', "pwd = /* ", "pwd: |\n  pwd: |\n", "pwd: a[", "pwd=b+", 'pwd=f"{', 'pwd="a"  ', "a=pwd;pwd=a;", 'pwd "a', "--pwd ", "pwd=a or ", "a, pwd, ", "name: pwd, ", "://a:", "pwd = (", "pwd /*", "Authorization: Bearer ", "pwd=a ? 'b", "pwd=get('a',"],
 )
 def test_long_texts_take_linear_time(piece):
     began = time.perf_counter()
     secret_scan.secrets((piece * (2_000_000 // len(piece))).encode())
     assert time.perf_counter() - began < 20
+
+
+V = "Tr0ub4dorX9"
+
+
+@pytest.mark.parametrize(
+    "t, values",
+    [
+        (f'#define DB_PWD "{V}"', [V]),
+        (f'db_pwd /* c */ = "{V}"', [V]),
+        (f'pwd = ("{V}")', [V]),
+        (f'pwd = ["{V}"]', [V]),
+        (f'user, db_pwd = "administrator", "{V}"', [V]),
+        (f'pwd = x if c else "{V}"', [V]),
+        (f'pwd = c ? "{V}" : "Zx81kQpLm4"', [V, "Zx81kQpLm4"]),
+        (f'pwd = os.getenv("DB", "{V}")', [V]),
+        (f'pwd = cfg.pwd || "{V}"', [V]),
+        (f'let pwd: &str = "{V}";', [V]),
+        (f"let pwd: &'static str = \"{V}\";", [V]),
+        (f'pwd -> "{V}"', [V]),
+        (f"mysql --pwd {V} --host db", [V]),
+        (f"mysql --db-pwd='{V}'", [V]),
+        (f'pwd "{V}"', [V]),
+        (f"url = postgres://admin:{V}@db.example.net/x", [V]),
+        (f"Authorization: Bearer {V}", [V]),
+        (f"- name: DB_PWD\n  value: {V}", [V]),
+        (f'<add key="DbPwd" value="{V}"/>', [V]),
+        ('pass: "correct horse battery staple"', ["correct horse battery staple"]),
+        ('pass: "must have at least eight letters"', []),
+        ("secret_santa = wonderland", []),
+        ("password_hint = grandmother7", []),
+        ("give the --pwd required by it", []),
+        ("see https://user:password@host/", []),
+        (f'other "{V}"', []),
+        (f'{{"pwd": x, "note": "{V}"}}', []),
+    ],
+)
+def test_values_of_further_syntax(t, values):
+    found = [t[s["start"] : s["end"]] for s in secret_scan.secrets(t.encode()) if s["kind"] == "literal"]
+    assert sorted(found) == sorted(values)
+
+
+FORMS = ['{} = "{}"', "{}: '{}'", "{}={}", "export {}={}", "<{0}>{1}</{0}>", 'set("{}", "{}")', '#define {} "{}"', '{} = get("X", "{}")', 'x, {} = "a", "{}"', "run --{} {}", '{} = a or "{}"', '"{}": "{}",', "{}: |\n  {}\n", 'const {}: string = "{}";', "- name: {}\n  value: {}", '{} = ["{}"]']
+
+
+def test_planted_secrets_among_plain_values():
+    """All planted values are found, and no value of a plain name, over forms in random order."""
+    rng = random.Random(7)
+    names = {True: ["db_pwd", "userPassphrase", "CLIENT_CREDENTIAL", "signingKey", "auth_bearer", "svc-pwd"], False: ["colour", "userTitle", "HOST_NAME", "build", "svc-zone", "pwd_policy"]}
+    lines, planted = [], set()
+    for _ in range(4000):
+        secret = rng.random() < 0.5
+        name, value = rng.choice(names[secret]), "".join(rng.choices(string.ascii_letters + string.digits, k=rng.randint(14, 30)))
+        value = f"k{value[:-2]}7Q"
+        form = rng.choice(FORMS)
+        if "-" in name and form.startswith(("{} =", "x, ", "#define", "const", "export")):
+            name = name.replace("-", "_")
+        lines.append(form.format(name, value))
+        if secret:
+            planted.add(value)
+    t = "\n".join(lines)
+    found = {t[s["start"] : s["end"]] for s in secret_scan.secrets(t.encode()) if s["kind"] == "literal"}
+    assert not planted - found and not found - planted
