@@ -1,10 +1,11 @@
 """Near copies by the Jaccard similarity of their sets of word shingles.
 
-Candidates share a band of MinHash values, or come from elsewhere as groups; each is then held
-against the exact sets. Texts of one set are one node. In each bucket the node of most company is
+Candidates share a band of MinHash values; each pair is held against the exact sets. Texts of one
+set are one node. In each bucket the node of most company is
 compared with the others first, so that a group near to it costs rows in proportion, however large.
 In buckets that are not one component then, the nodes outside the largest component are compared
-with all others, in cells of bounded size that return links only.
+with all others, in cells of bounded size that return links only. Groups from elsewhere, in which
+less similarity is asked, are buckets too; those that are one component by then are not looked at.
 """
 
 from __future__ import annotations
@@ -98,13 +99,6 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _proposed(groups: DataFrame, marked: DataFrame) -> DataFrame:
-    """Pairs of each group's smallest node with its others; groups: row, group."""
-    members = marked.select("row", "node").join(groups, "row").select("group", "node").distinct()
-    first = members.groupBy("group").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
-    return looked_up(members, first, "group", "node").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-
-
 def _cell(tenths: int):
     """Compares a cell's own sets with those asked; gives pairs of components, one for each own set and component near to it."""
 
@@ -152,14 +146,37 @@ def _across(met: DataFrame, sets: DataFrame, tenths: int, tile: int) -> DataFram
     return cells.join(sets.hint("merge"), "node").groupBy("bucket", "i", "j").applyInArrow(_cell(tenths), "a long, b long")
 
 
-def kept(docs: DataFrame, row_col: str, groups: DataFrame | None = None, shingle: int = 5, tenths: int = 8, bands: int = 26, rows: int = 6, tile: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _joined(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and component after the components of edges (a, b) are one."""
+    joined = components(edges).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return named.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+
+
+def _within(groups: DataFrame, marked: DataFrame, nodes: DataFrame, named: DataFrame, own: DataFrame, shingle: int, tenths: int, tile: int) -> DataFrame:
+    """named (node, component) with all pairs of nodes of a group linked that are near; groups: row, group."""
+    members = marked.where("size > 0").select("row", "node").join(groups, "row").select(F.col("group").alias("bucket"), "node").distinct().join(named, "node")
+    apart = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
+    met = cut(looked_up(members, apart, "bucket", "node").join(nodes.select("node", "row", "size"), "node"))
+    if met.isEmpty():
+        return named
+    sets = cut(own.join(small_side(met.select("node", "row").distinct()), "row").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>"))
+    first = met.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("first"))
+    pairs = looked_up(met, first, "bucket", "node").where("component <> first.component").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    of = lambda c: named.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    near = _near(cut(_ordered(pairs)), sets, tenths).join(of("a"), "a").join(of("b"), "b")
+    named = cut(_joined(named, near.select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))))
+    return _joined(named, _across(met.select("bucket", "node", "size").join(named, "node").select("bucket", "node", "size", "component"), sets, tenths, tile))
+
+
+def kept(docs: DataFrame, row_col: str, groups: DataFrame | None = None, shingle: int = 5, tenths: int = 8, group_tenths: int = 5, bands: int = 26, rows: int = 6, tile: int = 1 << 19, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row: of each group of near copies the row of smallest doc_id (null is larger than all); a row near to no other is a group.
 
     Rows are linked if the distinct shingles that they share are `tenths` tenths of those of both,
     or more, and a group is what links reach; texts without words are one group. row_col holds
     unique longs, the same at each reading. Of pairs of similarity s, the share (1 - s ** rows) **
     bands never meets (0.0004 at 0.8) and is linked through others only. groups (row, group), if
-    given, proposes further candidates: a group's rows are compared with one of them.
+    given, say what else is near: rows of one group that have words are linked from `group_tenths`
+    tenths on.
     """
     own = docs.select(F.col(row_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marked = cut(own.mapInArrow(_marked(shingle, bands, rows), "row long, doc_id long, node long, bands array<long>, size long"))
@@ -173,16 +190,14 @@ def kept(docs: DataFrame, row_col: str, groups: DataFrame | None = None, shingle
     met = cut(met.join(met.groupBy("node").agg(F.sum("n").alias("company")), "node").select("bucket", "node", "size", "n", "company"))
     top = met.groupBy("bucket").agg(F.max(F.struct("company", "node")).alias("top")).select("bucket", F.col("top.node").alias("a"))
     pairs = met.join(top.hint("merge"), "bucket").select("a", F.col("node").alias("b")).where("a <> b")
-    if groups is not None:
-        pairs = pairs.unionByName(_proposed(groups, marked))
     pairs = cut(_ordered(pairs))
     chosen = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "row")
     sets = cut(own.join(small_side(chosen), "row").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>"))
     linked = components(_near(pairs, sets, tenths))
     named = cut(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     # a bucket of two nodes was compared whole
-    joined = components(_across(met.where("n > 2").join(named, "node").select("bucket", "node", "size", "component"), sets, tenths, tile))
-    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    named = named.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    named = _joined(named, _across(met.where("n > 2").join(named, "node").select("bucket", "node", "size", "component"), sets, tenths, tile))
+    if groups is not None:
+        named = _within(groups, marked, nodes, cut(named), own, shingle, group_tenths, tile)
     first = F.min(F.struct("unknown", "doc_id", "row")).alias("first")
     return nodes.join(named, "node").groupBy("component").agg(first).select("first.row")

@@ -39,10 +39,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share 0.8 or more of their 5-word shingles the document of smallest doc_id.
+    """Of each group of near copies the document of smallest doc_id.
 
-    SimHash groups of 5-word shingles propose pairs; bands of MinHash values propose those of similarity 0.8
-    that SimHash at 4 bits can't reach. Each pair is held against the exact shingles.
+    Two texts are near if operator 5 puts them into one SimHash group (5-word shingles, 4 bits) and they share
+    half of their shingles or more, or if they share 0.8 or more: of such pairs SimHash at 4 bits reaches few, so
+    bands of MinHash values propose them. Each pair is held against the exact shingles.
     """
     keyed, name = _keyed(docs)
     groups = simhash.near_duplicates(keyed, shingle=SHINGLE, id_col=name)

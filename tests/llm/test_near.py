@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from assay.llm import jaccard
+from assay.llm import jaccard, simhash
 from tests.llm.cases import prose
 
 
@@ -62,3 +64,32 @@ def test_sets_are_distinct_shingles():
     found = [set(hashes[a:b].tolist()) for a, b in zip(first, first[1:])]
     assert [len(x) for x in found] == [len(sets(t)) for t in texts]
     assert all((found[i] & found[j] != set()) == (sets(texts[i]) & sets(texts[j]) != set()) for i in range(6) for j in range(i))
+
+
+def test_groups_of_operator_5_have_an_effect(spark, sf_dir, monkeypatch):
+    """A text 3 bits from another, of similarity 0.75, goes by operator 5 alone; one that chance puts into its group stays."""
+    w = [f"{x}{i % 97}" for i, x in enumerate(prose(3, 400).split())]
+    rows = [(1, " ".join(w)), (2, " ".join(edited(12, w, 12))), (3, " ".join(edited(5, w, 12))), (4, prose(9, 50)), (5, ""), (6, "one two three four five six")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    print_of = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, shingle=5).collect()}
+    assert print_of == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6} and not near(sets(rows[0][1]), sets(rows[1][1]))
+    ids = lambda: sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect())
+    assert ids() == [1, 3, 4, 5, 6]
+    alone = simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda docs, **k: alone(docs, **k).withColumn("component_id", F.col("doc_id")))
+    assert ids() == [1, 2, 3, 4, 5, 6]
+    monkeypatch.setattr(simhash, "near_duplicates", lambda docs, **k: alone(docs, **k).withColumn("component_id", F.lit(0)))
+    assert ids() == [1, 4, 5, 6]
+
+
+def test_all_pairs_of_a_group_are_compared(spark):
+    """3 is near to 2 only, which is near to 1: by half, within the group given."""
+    w = [f"w{i}" for i in range(404)]
+    changed = lambda n: [f"x{x}" if k % 5 == 0 and k < 5 * n else x for k, x in enumerate(w)]
+    rows = [(k, " ".join(changed(n)), k) for k, n in enumerate((0, 25, 50))]
+    s = [sets(t) for _, t, _ in rows]
+    assert [2 * len(s[a] & s[b]) >= len(s[a] | s[b]) for a, b in ((0, 1), (1, 2), (0, 2))] == [True, True, False]
+    docs, groups = spark.createDataFrame(rows, "doc_id long, text string, row long"), spark.createDataFrame([(k, 7) for k in range(3)], "row long, group long")
+    for tile in (100, 1 << 19):
+        assert [r["row"] for r in jaccard.kept(docs, "row", groups, tile=tile).collect()] == [0]
+    assert sorted(r["row"] for r in jaccard.kept(docs, "row").collect()) == [0, 1, 2]
