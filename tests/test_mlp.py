@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import functions as F
 
 from assay.operators import blocks, cv, metrics, mlp
 from assay.operators.mlp import Params, Perceptron
@@ -85,3 +86,14 @@ def test_regression_of_houses(spark):
     spec = Spec("m", "mlp", "regression", "SalePrice", {"hidden_layer_sizes": [16], "max_iter": 25, "learning_rate_init": 0.02}, drop=("id",))
     preds = cv.predict_holdout(houses(spark), houses(spark), spec, ["id"])
     assert metrics.score(preds, "r2", ("model",)).first()["value"] > 0.85
+
+
+def test_a_step_reads_its_mini_batch_only(spark, monkeypatch):
+    monkeypatch.setattr(mlp, "PIECE_ROWS", 40)
+    df, _, _ = table(spark, 1000)
+    sets = {s: blocks.arrays(df.where(F.col("label") >= s - 1)) for s in (0, 1)}
+    states = {s: mlp.State(np.zeros(1), 4) for s in sets}
+    written, rows, pieces = Perceptron("classification", 2, Params())._table(sets, states, {0: (0.0, 1.0), 1: (0.0, 1.0)}, 0.1, 2000)
+    held = rows.map(lambda b: (b[0], b[1], len(b[3]))).glom().collect()
+    assert pieces == 13 and all(part == i // pieces - 1 for i, own in enumerate(held) for _, part, _ in own)
+    assert sum(n for own in held for _, _, n in own) == written.agg(F.sum("n")).first()[0] == 2000
