@@ -135,3 +135,15 @@ def test_later_rounds_see_earlier_results(spark):
     rows = {r["candidate"]: r for r in found.results.collect()}
     assert set(rows) == {"r", "bad", "r_r2"} and not rows["bad"]["ok"] and rows["r_r2"]["ok"]
     assert found.recommended in ("r", "r_r2") and [r["kind"] for r in found.events.orderBy("ts").collect()].count("round_start") == 2
+
+
+def test_holdout_is_prepared_once(spark, monkeypatch):
+    calls, prepare = [], cv.prepare
+    monkeypatch.setattr(cv, "prepare", lambda *a: calls.append(1) or prepare(*a))
+    parted = split.split_holdout(churn(spark).limit(600), "Churn", "classification", ["customer_id"])
+    dev, hidden = (parted.where(F.col("split") == s).drop("split") for s in ("dev", "hidden"))
+    specs = [Spec(str(i), "logreg", "classification", "Churn", {"max_iter": i}, drop=("customer_id",)) for i in (3, 9)]
+    both = cv.Holdout(dev, hidden, specs[0], ["customer_id"])
+    found = [sorted(both.predict(s).collect()) for s in specs]
+    assert len(calls) == 2 and found[0] != found[1]
+    assert found == [sorted(cv.predict_holdout(dev, hidden, s, ["customer_id"]).collect()) for s in specs]

@@ -1,6 +1,9 @@
 """Resamples as sums of weighted rows, against a row for each resample."""
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +74,27 @@ def test_multinomial_scores(spark):
 def test_one_class_has_no_auc(spark):
     preds = frame(spark, "binary").withColumn("label", F.lit(1))
     assert {r["value"] for r in resample.poisson_scores(preds, "roc_auc", ["id"], 3).collect()} == {None}
+
+
+def test_digests_equal_hashlib():
+    keys = [b"|", "|é".encode(), *[b"|" + b"x" * n + str(n).encode() for n in (1, 5, 6, 44, 48, 49, 51, 60, 200)]]
+    heads = [f"3|{b}".encode() for b in range(120)]
+    wanted = np.array([[np.frombuffer(hashlib.md5(h + k).digest(), ">u4") for h in heads] for k in keys])
+    assert np.array_equal(resample.digests(heads, keys), wanted)
+
+
+def test_weights_are_drawn_once_for_a_key(monkeypatch):
+    asked, drawn = [], resample.poisson_weights
+    monkeypatch.setattr(resample, "poisson_weights", lambda keys, *more: asked.extend(keys) or drawn(keys, *more))
+    w = resample.key_weights(10, 4)(pa.RecordBatch.from_pydict({"key": ["|b", "|a", "|b", "|b"]}))
+    assert asked == ["|b", "|a"] and np.array_equal(w, drawn(["|b", "|a", "|b", "|b"], 10, 4))
+
+
+def test_models_of_a_key_share_a_task(spark, monkeypatch):
+    monkeypatch.setattr(resample, "TASK_ROWS", 100)
+    found = []
+    monkeypatch.setattr(resample, "_scored", lambda rows, *_: found.append(rows))
+    rows = [(m, i, float(i % 2), (i * 7 % 100) / 100) for m in ("a", "b") for i in range(200)]
+    resample.poisson_scores(spark.createDataFrame(rows, "model string, id long, label double, score double").repartition(4), "rmse", ["id"], 5)
+    parts = [[r["key"] for r in part] for part in found[0].rdd.glom().collect()]
+    assert sum(map(len, parts)) == 400 and sum(len(set(p)) for p in parts) == 200 and len([p for p in parts if p]) > 1
