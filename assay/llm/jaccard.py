@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from assay.llm import text
 from assay.llm.components import components
-from assay.llm.shared import cut, looked_up, small_side
+from assay.llm.shared import cut, looked_up, packed, small_side
 
 _MULTIPLY, _FLIP = np.random.default_rng(5).integers(1, 2**63, (2, 4096), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -148,17 +148,19 @@ def _across(met: DataFrame, sets: DataFrame, tenths: int, tile: int) -> DataFram
 
 def _joined(named: DataFrame, edges: DataFrame) -> DataFrame:
     """node and component after the components of edges (a, b) are one."""
-    joined = components(edges).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    joined = small_side(components(edges).select(F.col("node").alias("component"), F.col("component").alias("joined")))
     return named.join(joined, "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
 
 
 def _within(groups: DataFrame, marked: DataFrame, nodes: DataFrame, named: DataFrame, own: DataFrame, shingle: int, tenths: int, tile: int) -> DataFrame:
     """named (node, component) with all pairs of nodes of a group linked that are near; groups: row, group."""
-    members = marked.where("size > 0").select("row", "node").join(groups, "row").select(F.col("group").alias("bucket"), "node").distinct().join(named, "node")
+    members = cut(marked.where("size > 0").select("row", "node").join(groups, "row").select(F.col("group").alias("bucket"), "node").distinct().join(named, "node"))
     apart = members.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("bucket")
     met = cut(looked_up(members, apart, "bucket", "node").join(nodes.select("node", "row", "size"), "node"))
-    if met.isEmpty():
+    n = met.count()
+    if not n:
         return named
+    met = packed(met, n)
     sets = cut(own.join(small_side(met.select("node", "row").distinct()), "row").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>"))
     first = met.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("first"))
     pairs = looked_up(met, first, "bucket", "node").where("component <> first.component").select(F.col("first.node").alias("a"), F.col("node").alias("b"))
@@ -193,7 +195,7 @@ def kept(docs: DataFrame, row_col: str, groups: DataFrame | None = None, shingle
     pairs = cut(_ordered(pairs))
     chosen = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "row")
     sets = cut(own.join(small_side(chosen), "row").select("node", "text").mapInArrow(_sets(shingle), "node long, shingles array<long>"))
-    linked = components(_near(pairs, sets, tenths))
+    linked = small_side(components(_near(pairs, sets, tenths)))
     named = cut(nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     # a bucket of two nodes was compared whole
     named = _joined(named, _across(met.where("n > 2").join(named, "node").select("bucket", "node", "size", "component"), sets, tenths, tile))

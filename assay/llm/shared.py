@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Parts into which the rows of one key are dealt.
 SALTS = 32
+#: Rows of a few longs that make one part of a counted table.
+PART = 1 << 12
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -25,10 +27,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has `rows` rows of a few longs at most, in one part for each PART rows, or as it is if it has fewer parts.
+
+    However few the rows, each part is a task and several files, and a shuffle has as many as the session says.
+    """
+    return df.coalesce(max(1, -(-rows // PART)))
+
+
 def small_side(keys: DataFrame, most: int = 1 << 22) -> DataFrame:
     """keys (a few longs a row), written and counted: broadcast to a join if there are `most` rows or fewer, else shuffled."""
     keys = cut(keys)
-    return F.broadcast(keys) if keys.count() <= most else keys
+    rows = keys.count()
+    return F.broadcast(packed(keys, rows)) if rows <= most else keys
 
 
 def looked_up(rows: DataFrame, lookup: DataFrame, key: str, by: str) -> DataFrame:
