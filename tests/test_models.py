@@ -6,6 +6,7 @@ from assay.operators import cv, features, models, split
 from assay.operators.features import Prep
 from assay.operators.models import Spec
 from assay.plans import compare
+from assay.queries import QUERIES
 from assay.streaming.events import replay
 from tests.frames import churn, houses
 
@@ -147,3 +148,18 @@ def test_holdout_is_prepared_once(spark, monkeypatch):
     found = [sorted(both.predict(s).collect()) for s in specs]
     assert len(calls) == 2 and found[0] != found[1]
     assert found == [sorted(cv.predict_holdout(dev, hidden, s, ["customer_id"]).collect()) for s in specs]
+
+
+def test_smoke_round_is_the_whole_menu_with_defaults_on_three_folds(spark, sf_dir, monkeypatch):
+    seen = []
+
+    def stopped(df, specs):
+        seen.append(({r["fold"] for r in df.select("fold").distinct().collect()}, df.count(), specs))
+        raise InterruptedError
+
+    monkeypatch.setattr(cv, "run_round", stopped)
+    with pytest.raises(InterruptedError):
+        QUERIES["smoke_round"](spark, sf_dir)
+    (folds, rows, specs), = seen
+    assert folds == {0, 1, 2} and rows == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    assert {s.model: s.params for s in specs} == {m: {} for m in models.MENU["classification"]}
